@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import mixing, packing, simhash, sitetree, substrings, topk, toxicity, versions
+from kinfold.llm import mixing, packing, pii, simhash, sitetree, substrings, topk, toxicity, urlfilter, versions
 from kinfold.runtime import table
 
 
+def op1_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.op1_query(table(spark, sf_dir, "pages"), table(spark, sf_dir, "events"))
+
+
 def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitetree.op2_query(table(spark, sf_dir, "pages"))
 
@@ -18,6 +22,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op3_query(table(spark, sf_dir, "documents"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op4_query(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5_query(table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_temporal_list_join": op1_temporal_list_join,
     "op2_site_style_tree": op2_site_style_tree,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_surrogates": op4_surrogates,
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -54,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_temporal_list_join": urlfilter.OP1_SQL,
     "op5_source_mixing": mixing.OP5_SQL,
     "op10_exact_top_k": topk.OP10_SQL,
 }
