@@ -106,7 +106,7 @@ class Links:
     def __init__(self, n: int):
         self.label = np.arange(n)
 
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+    def join(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray | None = None) -> None:
         while True:
             a, b = self.label[i], self.label[j]
             apart = a != b
@@ -118,6 +118,21 @@ class Links:
                 self.label = up
 
 
+class Nearest:
+    """For each row the nearest row that it was paired with, the smaller row number on ties; -1 without a pair."""
+
+    def __init__(self, n: int):
+        self.best = np.full(n, np.iinfo(np.int64).max)
+
+    def join(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
+        np.minimum.at(self.best, i, distance << 40 | j)
+        np.minimum.at(self.best, j, distance << 40 | i)
+
+    @property
+    def label(self) -> np.ndarray:
+        return np.where(self.best == np.iinfo(np.int64).max, np.arange(len(self.best)), self.best & ((1 << 40) - 1))
+
+
 def _tree(f: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Levels of the index over Gray-sorted rows, leaves first: (first row, mask of the shared bits, pattern)."""
     at = np.arange(0, len(f), LEAF)
@@ -131,7 +146,7 @@ def _tree(f: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         both, none, at = np.bitwise_and.reduceat(both, up, axis=0), np.bitwise_and.reduceat(none, up, axis=0), at[up]
 
 
-def _large(f: np.ndarray, radius: int, base: int, links: Links) -> None:
+def _large(f: np.ndarray, radius: int, base: int, links: Links | Nearest) -> None:
     """All pairs of rows of ``f`` (Gray-sorted) within the radius, joined in ``links`` under rows from ``base``."""
     levels = _tree(f)
     todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -158,19 +173,21 @@ def _large(f: np.ndarray, radius: int, base: int, links: Links) -> None:
             j = np.tile(b[s : s + 256, None] * LEAF + offsets, (1, LEAF)).ravel()
             ok = (i < j) & (j < len(f))
             i, j = i[ok], j[ok]
-            ok = _differ(f[i], f[j]) <= radius
-            links.join(i[ok] + base, j[ok] + base)
+            d = _differ(f[i], f[j])
+            ok = d <= radius
+            links.join(i[ok] + base, j[ok] + base, d[ok])
 
 
-def group_links(group: np.ndarray, order: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that hang together within a group by steps of ``radius`` bits or fewer: (row, smallest such row).
+def group_links(group: np.ndarray, order: np.ndarray, f: np.ndarray, radius: int, kind: type[Links] | type[Nearest] = Links) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that hang together within a group by steps of ``radius`` bits or fewer: (row, smallest such row), or, with
+    ``kind`` Nearest, each row and the nearest to it within ``radius`` bits.
 
     ``group`` numbers the groups, ``order`` is the Gray rank that sorts inside a group, ``f`` holds (rows, words).
-    Rows that hang with no smaller row are left out. Small groups are compared whole, large ones through the tree.
+    Rows that have no other are left out. Small groups are compared whole, large ones through the tree.
     """
     by = np.lexsort((order, group))
     g, f = group[by], f[by]
-    links = Links(len(g))
+    links = kind(len(g))
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     sizes = np.diff(np.r_[starts, len(g)])
     size = np.repeat(sizes, sizes)
@@ -183,12 +200,14 @@ def group_links(group: np.ndarray, order: np.ndarray, f: np.ndarray, radius: int
         small = i
         for s in range(0, len(i), 1 << 18):
             x = i[s : s + (1 << 18)]
-            x = x[_differ(f[x], f[x + d]) <= radius]
-            links.join(x, x + d)
+            apart = _differ(f[x], f[x + d])
+            ok = apart <= radius
+            links.join(x[ok], x[ok] + d, apart[ok])
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         _large(f[s : s + n], radius, s, links)
-    moved = np.flatnonzero(links.label != np.arange(len(g)))
-    return by[moved], by[links.label[moved]]
+    label = links.label
+    moved = np.flatnonzero(label != np.arange(len(g)))
+    return by[moved], by[label[moved]]
 
 
 def hamming_links(fps: DataFrame, radius: int, rows: int, max_group: int = MAX_GROUP, split_bits: int = SPLIT_BITS) -> DataFrame:
