@@ -14,56 +14,123 @@ length that a third of all pieces share is dealt to many tasks.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import batch, texts
+from kinfold.llm.common import batch
 from kinfold.runtime import materialize
 
 CAPACITY = 2048
-#: Distinct words a tokenizing worker keeps at most, and bytes of the longest word it keeps.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+#: Distinct words that a generation of a tokenizing worker's memory keeps, and the length of the longest word kept.
+CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Bytes of text whose distinct words are looked up together.
+TOGETHER = 16_000_000
+#: Punctuation that may close a word and is encoded by itself.
+CLOSING = ".,!?;:"
 #: Fillings that the search may choose over all its branches before it keeps its incumbent.
 SEARCH_NODES = 30_000
 SALTED_ROWS = 50_000
 
 
 class WordTokenizer:
-    """Token ids of whole texts for a tokenizer that never joins across white space, one distinct word at a time.
+    """Token ids of whole texts for a tokenizer that drops white space and upper case, one distinct word at a time.
 
     Such a tokenizer gives a text the ids of its words in turn. Only ASCII white space is split at here; any other
-    stays inside a word and is the tokenizer's business.
+    stays inside a word and is the tokenizer's business. Words that are letters but for closing punctuation are encoded
+    many in a call and told apart by the tokens that end a word (one by one if the vocabulary has none). Known words are kept in two generations of
+    ``CACHE_WORDS``: what the younger one has not asked for by the time it is full is forgotten.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids."""
-        words = text.split()
-        cache = self.cache
-        new = [w for w in set(words) if w not in cache]
-        long: dict[bytes, bytes] = {}
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 10_000):
-                part = new[i : i + 10_000]
-                for w, e in zip(part, self.encoder.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    (cache if len(w) <= CACHE_LENGTH else long)[w] = np.array(e.ids, "<u4").tobytes()
-        if long:
-            return b"".join([long[w] if w in long else cache[w] for w in words])
-        return b"".join(map(cache.__getitem__, words))
+        suffix = json.loads(self.encoder.to_str())["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.encoder.get_vocab_size(), bool)  # tokens that end a word
+        if suffix:
+            self.last[[i for t, i in self.encoder.get_vocab().items() if t.endswith(suffix)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.closing: dict[str, bytes] = {"": b""}
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters only, 1000 in a call."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            (e,) = self.encoder.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(self.last[ids]) + 1
+            if len(cut) == len(part):
+                raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+                out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+            else:
+                out += self._plain(part)
+        return out
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. What is remembered are words without their closing punctuation."""
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        cores = [w.rstrip(CLOSING) for w in words]
+        simple = [c.isalpha() and (c.isascii() or c.lower().isalpha()) for c in cores]
+        if not all(simple):
+            cores = [c if s else w for w, c, s in zip(words, cores, simple, strict=True)]
+        found = list(map(self.young.get, cores))
+        new = {c: s for c, s, x in zip(cores, simple, found, strict=True) if x is None}
+        old = self.old
+        fresh = {w: old[w] for w in new if w in old}
+        letters = [w for w, s in new.items() if s and w not in fresh]
+        others = [w for w, s in new.items() if not s and w not in fresh]
+        fresh.update(zip(letters, self._letters(letters), strict=True))
+        fresh.update(zip(others, self._plain(others), strict=True))
+        self.young.update({w: x for w, x in fresh.items() if len(w) <= CACHE_LENGTH})
+        ends = [w[len(c) :] for w, c in zip(words, cores, strict=True)]
+        closing = self.closing if len(self.closing) < 10_000 else {"": b""}
+        unseen = [e for e in set(ends) if e not in closing]
+        closing.update(zip(unseen, self._plain(unseen), strict=True))
+        self.closing = closing
+        return [(fresh[c] if x is None else x) + closing[e] for c, x, e in zip(cores, found, ends, strict=True)]
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text of a string array, null as empty."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER)))
+            yield from self._ids(texts.slice(at, stop - at))
+            at = stop
+
+    def _ids(self, texts: pa.Array) -> Iterator[bytes]:
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are matched before upper case is dropped
+            texts = pc.ascii_lower(texts)
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        ids = self._known(coded.dictionary.to_pylist())
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens
+        which = coded.indices.to_numpy()
+        n = lens[which]
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        tokens = flat[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(words.value_lengths().to_numpy())])
+        cuts = (4 * upto[bounds]).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield tokens[a:b]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -78,8 +145,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
         words = WordTokenizer(tokenizer)
         for b in it:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, t in enumerate(texts(b.column(1))):
-                x = words.ids(t) + end
+            for i, x in enumerate(words.ids(b.column(1))):
+                x += end
                 n = len(x) // 4
                 for p, s in enumerate(range(0, n, capacity)):
                     part = x[4 * s : 4 * (s + capacity)]

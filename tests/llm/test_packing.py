@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -117,3 +118,17 @@ def test_ranks_are_dealt_by_salt(spark, monkeypatch):
 def test_ids_come_out(spark):
     r = packing.pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), PATH, with_ids=True).collect()
     assert list(r[0].ids) == Tokenizer.from_file(PATH).encode("a b", add_special_tokens=False).ids + [0]
+
+
+def test_words_give_the_ids_of_the_text(monkeypatch):
+    rnd = random.Random(4)
+    tok = Tokenizer.from_file(PATH)
+    words = packing.WordTokenizer(PATH)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    letters = "abcdefgzÄöñéßİıΣσς日本कि'’“.,!?;:-#1２½Ⅷªº̈\U0001f600"
+    for _ in range(40):
+        texts = ["".join(rnd.choice(letters) * rnd.choice([1, 1, 1, 3]) + rnd.choice(["", "", "", " ", "\n", "  "]) for _ in range(rnd.randrange(120))) for _ in range(5)]
+        texts += ["Hello, World. Hello, it's; don't!! e.g.", "x" * 200 + ". y", "<|startoftext|>a <|ENDOFTEXT|>B"]
+        got = list(words.ids(pa.array([*texts, None])))
+        assert got.pop() == b""
+        assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
