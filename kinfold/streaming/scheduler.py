@@ -100,7 +100,7 @@ def enqueue(states: DataFrame, chosen: DataFrame, now: float) -> DataFrame:
 
 def queue(states: DataFrame, workers: int = WORKERS) -> DataFrame:
     """The next folders for free workers, by priority and waiting time."""
-    return states.where("queued").orderBy("priority", "enqueued_at", "folder").limit(workers)
+    return states.where("queued").orderBy(F.asc_nulls_last("priority"), "enqueued_at", "folder").limit(workers)
 
 
 def hold(states: DataFrame, folder: str, held: bool) -> DataFrame:
