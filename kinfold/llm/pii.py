@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.runtime import materialize
+from kinfold.runtime import materialize, partitions_for
 
 KEY = "kinfold-surrogates"
 MAX_ATTEMPTS = 60
@@ -43,8 +43,9 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}\-])(?:{WOMEN}|{MEN})\.?[ \t]{{1,2}}{NAME_WORD}(?:[ \t]{{1,2}}{NAME_WORD}){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
-#: What a text must hold to be looked at closely.
-HINT = rf"[0-9@]|(?:{WOMEN}|{MEN})\.?[ \t]"
+#: What a text must hold to be looked at closely: a digit or an at sign, or what some title contains.
+HINT = "[0-9@]"
+TITLE_HINTS = ("Mr", "Ms", "Mis", "Herr", "Frau", "Mons", "Mada", "Made", "Mme", "Mlle", "Señor", "Sr", "Signor", "осподин", "оспож", "г-н", "г-ж")
 
 # Given names to draw from, by script and gender.
 GIVEN = {
@@ -158,28 +159,32 @@ def _mapped(body: Column, stream: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), one), "")
 
 
-def surrogate(key: str) -> Column:
-    """The surrogate of a row (type, scope, canon, attempt), in canonical form."""
+def draw(todo: DataFrame, key: str, parts: int) -> DataFrame:
+    """``todo`` (type, scope, canon, attempt) with ``sur``, the surrogate in canonical form.
+
+    Keyed bytes and the pieces of the canonical form are columns of their own before the exchange: the expressions
+    behind it refer to them in many places and per character, and must not compute them there.
+    """
     type_, canon, scope, attempt = (F.col(c) for c in ("type", "canon", "scope", "attempt"))
-    seed = F.concat_ws("|", F.lit(key), type_, scope, canon, attempt.cast("string"))
-    stream = _stream(seed, F.length(canon) + 16)
     head = (
         F.when(type_ == "awskey", F.substring(canon, 1, 4)).when(type_ == "iban", F.substring(canon, 1, 2)).when(type_ == "card", F.substring(canon, 1, 1))
         .when(type_ == "phone", F.regexp_extract(canon, r"^(\+1|\+7|\+[0-9]{2}|)", 1)).otherwise("")
     )
     tail = F.when(type_ == "email", F.regexp_extract(canon, r"(\.example\.(?:com|net|org)|\.\p{L}+)$", 1)).otherwise("")
+    seed = F.concat_ws("|", F.lit(key), type_, scope, canon, attempt.cast("string"))
+    rows = todo.select("*", _stream(seed, F.length(canon) + 16).alias("stream"), head.alias("head"), tail.alias("tail")).repartition(parts, "canon")
+    stream, head, tail = (F.col(c) for c in ("stream", "head", "tail"))
     body = F.substring(canon, F.length(head) + 1, F.length(canon) - F.length(head) - F.length(tail))
-    mapped = F.concat(head, _mapped(body, stream, type_.isin("hex", "ipv6")), tail)
+    rows = rows.withColumn("mapped", F.concat(head, _mapped(body, stream, type_.isin("hex", "ipv6")), tail))
+    mapped = F.col("mapped")
     # A number that begins with 0 or 1 after its country code is no subscriber's.
     first = F.length(head) + 1
     phone = F.when(_char(canon, first).rlike("[2-9]"), F.concat(head, (_number(stream, F.length(canon) + 1) % 8 + 2).cast("string"), F.substring(mapped, first + 1, F.length(canon)))).otherwise(mapped)
-    stem = F.substring(mapped, F.lit(1), F.length(mapped) - 1)
-    card = F.when(_luhn(canon) == 0, F.concat(stem, ((10 - _luhn(F.concat(stem, F.lit("0")))) % 10).cast("string"))).otherwise(mapped)
-    octets = F.split(canon, r"\.")
+    rows = rows.withColumn("stem", F.substring(mapped, F.lit(1), F.length(mapped) - 1))
+    check = F.when((type_ == "card") & (_luhn(canon) == 0), F.concat("stem", ((10 - _luhn(F.concat("stem", F.lit("0")))) % 10).cast("string"))).otherwise(mapped)
     private = F.when(canon.rlike(r"^(10|127)\."), 1).when(canon.rlike(r"^192\.168\."), 2).otherwise(0)
     octet = lambda o, i: F.when(i < private, o).otherwise((_number(stream, i) % 254 + 1).cast("string"))
-    ipv4 = F.array_join(F.transform(octets, octet), ".")
-    cyrillic = canon.rlike(r"^\p{IsCyrillic}")
+    ipv4 = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
 
     def family(script: str) -> Column:
         n = F.least(F.lit(2) + F.floor(attempt / 3), F.lit(9)).cast("int")
@@ -189,15 +194,16 @@ def surrogate(key: str) -> Column:
         more = F.least(F.floor(attempt / 6), F.lit(5)).cast("int")
         return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), more), lambda i: _pick(GIVEN[script, gender], _number(stream, i))), " "))
 
-    woman = F.startswith(scope, F.lit("f|"))
+    cyrillic, woman = canon.rlike(r"^\p{IsCyrillic}"), F.startswith(scope, F.lit("f|"))
     other = ~canon.rlike(r"^[\p{IsLatin}\p{IsCyrillic}]")
-    return (
-        F.when(type_ == "phone", phone).when(type_ == "card", card).when(type_ == "ipv4", ipv4)
+    sur = (
+        F.when(type_ == "phone", phone).when(type_ == "card", check).when(type_ == "ipv4", ipv4)
         .when(type_.isin("family", "given") & other, mapped)
         .when(type_ == "family", F.when(cyrillic, family("cyrillic")).otherwise(family("latin")))
         .when(type_ == "given", F.when(cyrillic & woman, given("cyrillic", "f")).when(cyrillic, given("cyrillic", "m")).when(woman, given("latin", "f")).otherwise(given("latin", "m")))
         .otherwise(mapped)
     )
+    return rows.select(*todo.columns, sur.alias("sur"))
 
 
 def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -207,8 +213,9 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     entities = materialize(entities.select(*unit), "entities")
     real = entities.select("type", "scope", F.col("canon").alias("sur"))
     todo, done = entities.withColumn("attempt", F.lit(0)), None
+    left = todo.count()
     for _ in range(MAX_ATTEMPTS):
-        drawn = todo.withColumn("sur", surrogate(key)).join(real.withColumn("taken", F.lit(True)), ["type", "scope", "sur"], "left")
+        drawn = draw(todo, key, max(1, min(partitions_for(entities.sparkSession, left, 20_000), -(-left // 500)))).join(real.withColumn("taken", F.lit(True)), ["type", "scope", "sur"], "left")
         first = F.row_number().over(Window.partitionBy("type", "scope", "sur").orderBy("canon")) == 1
         drawn = drawn.withColumn("good", first & F.col("taken").isNull())
         if done is not None:
@@ -217,7 +224,8 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
         good = drawn.where("good").select(*unit, "sur")
         done = good if done is None else done.unionAll(good)
         todo = drawn.where("not good").select(*unit, (F.col("attempt") + 1).alias("attempt"))
-        if todo.isEmpty():
+        left = todo.count()
+        if not left:
             return done
     raise RuntimeError(f"no distinct surrogates after {MAX_ATTEMPTS} attempts")
 
@@ -242,7 +250,10 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     body = F.col(f"`{text}`")
-    marked = F.coalesce(body.rlike(HINT) & body.rlike(ANY), F.lit(False))
+    hint = body.rlike(HINT)
+    for title in TITLE_HINTS:
+        hint |= body.contains(title)
+    marked = F.coalesce(hint & body.rlike(ANY), F.lit(False))
     hits = materialize(docs.where(marked).withColumn("_pii_id", F.monotonically_increasing_id()), "hits")
     found = hits.select("_pii_id", F.posexplode(F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).alias("at", "mention"))
     found = found.withColumn("kind", kind_of(F.col("mention"))).select("_pii_id", "at", F.posexplode(parts_of(F.col("mention"), F.col("kind"))).alias("part", "p")).select("_pii_id", "at", "part", "p.*")
