@@ -8,11 +8,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a task of the custom operators should hold at most, when rows are narrow.
 ROWS_PER_TASK = 500_000
 
 
+#: Rows of one or two numbers that may be broadcast at most; the relation that executors build of them stays below 64 MB.
+BROADCAST_ROWS = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +29,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kinfold-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -53,3 +60,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 def partitions_for(spark: SparkSession, rows: int, per_task: int = ROWS_PER_TASK) -> int:
     """Shuffle partitions for ``rows`` narrow rows: the session's number, or more where rows ask for it."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialized narrow table, marked for broadcast if it has ``most`` rows at most; else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= most else df
