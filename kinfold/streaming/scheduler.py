@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.labels import retry_delay
+from kinfold.functions.labels import RETRY_BASE, RETRY_MOST, retry_delay
 from kinfold.runtime import materialize
 
 #: Fixed values, seconds: poll, quiet time, least time between scans, hold of a folder that a user looks at, scan limit.
@@ -133,3 +133,10 @@ def take_refresh(flags: DataFrame, folder: str) -> tuple[bool, DataFrame]:
     """Whether ``flags(folder)`` asks for a refresh of a folder, and the flags without it."""
     mine = F.col("folder") == folder
     return not flags.where(mine).isEmpty(), flags.where(~mine)
+
+
+def retry_wait(status: str, failures: int) -> float:
+    """``retry_delay`` of plain values."""
+    if failures <= 0:
+        return 0.0
+    return min(RETRY_BASE * 2.0**failures, RETRY_MOST) if status == "error" else RETRY_BASE * 2.0 ** (failures - 1)
