@@ -78,13 +78,13 @@ def base_name(path: Column) -> Column:
 
 def thumb_path(path: Column) -> Column:
     """Where a video's frame is kept: beside it, named by the whole file name so that no two videos share one."""
-    folder, frame = folder_of(path), F.concat(F.lit("thumb-deduper."), base_name(path), F.lit(".jpg"))
+    folder, frame = folder_of(path), F.concat(F.lit("thumb-frame."), base_name(path), F.lit(".jpg"))
     return F.when(folder == "", frame).otherwise(F.concat(folder, F.lit("/"), frame))
 
 
 def is_thumb(path: Column) -> Column:
     """Whether a file or a folder above it is a thumbnail's."""
-    return path.rlike(r"(^|/)thumb(-deduper)?\.")
+    return path.rlike(r"(^|/)thumb(-[A-Za-z0-9]+)?\.")
 
 
 def link_target(link: Column, target: Column) -> Column:

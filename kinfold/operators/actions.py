@@ -66,8 +66,7 @@ def apply(actions: DataFrame, root: str, dry_run: bool = True) -> list[tuple[str
             temp.unlink(missing_ok=True)
             temp.symlink_to(os.path.relpath(best, dup.parent))
             os.replace(temp, dup)
-            for thumb in (dup.with_name(f"thumb-deduper.{dup.name}.jpg"),):
-                thumb.unlink(missing_ok=True)
+            dup.with_name(f"thumb-frame.{dup.name}.jpg").unlink(missing_ok=True)
             out.append((row.dup, row.best, "replaced"))
         except OSError as e:
             temp.unlink(missing_ok=True)

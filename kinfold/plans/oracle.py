@@ -123,8 +123,8 @@ SQL: dict[str, str] = {
     "ext_normalize": r"""WITH p AS (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/](\.[^./]*)$', 1)) AS ext FROM pages)
         SELECT page_id, ext, '.html' || CASE WHEN ext IN ('', '.html') THEN '' ELSE ',' || ext END AS extensions FROM p""",
     "media_kinds": r"""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages)
-        SELECT page_id, CASE WHEN lower(path) LIKE '%.html' OR lower(path) LIKE '%.htm' THEN 'image' WHEN lower(path) LIKE '%/' OR lower(path) LIKE '%.net' THEN 'video' END AS kind, regexp_matches(path, '(^|/)thumb(-deduper)?\.') AS thumb FROM p""",
-    "thumb_paths": "SELECT doc_id, CASE WHEN coalesce(lang, '') = '' THEN '' ELSE lang || '/' END || 'thumb-deduper.' || doc_id || '.jpg' AS thumb, false AS safe FROM documents",
+        SELECT page_id, CASE WHEN lower(path) LIKE '%.html' OR lower(path) LIKE '%.htm' THEN 'image' WHEN lower(path) LIKE '%/' OR lower(path) LIKE '%.net' THEN 'video' END AS kind, regexp_matches(path, '(^|/)thumb(-[A-Za-z0-9]+)?\.') AS thumb FROM p""",
+    "thumb_paths": "SELECT doc_id, CASE WHEN coalesce(lang, '') = '' THEN '' ELSE lang || '/' END || 'thumb-frame.' || doc_id || '.jpg' AS thumb, false AS safe FROM documents",
     "url_codec": "SELECT page_id, '/data/my%20files/' || replace(url_encode(url), '%2F', '/') AS address, true AS same FROM pages",
     "metric_keys": "SELECT event_type || '[a=' || (user_id % 3) || ',k=' || json_extract_string(props, '$.k') || ']' AS key, count(*) AS n FROM events GROUP BY 1",
     "retry_schedule": """WITH n AS (SELECT user_id, count(*) % 8 AS failures FROM events WHERE event_type = 'error' GROUP BY user_id)

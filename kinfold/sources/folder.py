@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from kinfold.functions.labels import media_kind
 from kinfold.schema import ASSET, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS
 
-THUMBS = ("thumb.", "thumb-deduper.")
-#: Names that a folder's own state writes: they are no change of its contents.
-OWN_FILES = (".deduper", ".json")
+#: Thumbnails, whatever tool made them, and the dot files in which tools keep a folder's state, databases among them.
+THUMBS = re.compile(r"thumb(-[A-Za-z0-9]+)?\.")
+STATE_FILES = re.compile(r"\.[A-Za-z0-9]+(\.db.*)?$")
 
 
 def walk(root: str) -> Iterator[tuple[str, int, float]]:
@@ -28,7 +29,7 @@ def walk(root: str) -> Iterator[tuple[str, int, float]]:
             continue
         for e in entries:
             try:
-                if e.name.startswith(THUMBS) or e.is_symlink():
+                if THUMBS.match(e.name) or e.is_symlink():
                     continue
                 if e.is_dir():
                     todo.append(e.path)
@@ -47,7 +48,7 @@ def folders(root: str, hidden: bool = False) -> list[str]:
 
 def content_mtime(root: str) -> float:
     """The latest change of anything below a folder but its thumbnails and its own state."""
-    latest = [m for p, _, m in walk(root) if not os.path.basename(p).startswith((".deduper.db", *THUMBS)) and os.path.basename(p) not in OWN_FILES]
+    latest = [m for p, _, m in walk(root) if not STATE_FILES.match(os.path.basename(p))]
     return max(latest, default=0.0)
 
 

@@ -13,12 +13,12 @@ from kinfold.functions.signatures import from_hex
 from kinfold.schema import BEST, GROUPING, GROUPS
 from kinfold.state import StateStore, read_summary
 
-LEGACY_VERSION, LEGACY_NAME = "1.0", ".deduper"
+LEGACY_VERSION = "1.0"
 
 
-def find(root: str) -> list[Path]:
-    """Old state files below a root."""
-    return sorted(Path(d) / LEGACY_NAME for d, _, names in os.walk(root) if LEGACY_NAME in names)
+def find(root: str, name: str) -> list[Path]:
+    """Old state files below a root, by the name that they had."""
+    return sorted(Path(d) / name for d, _, names in os.walk(root) if name in names)
 
 
 def readable(data: dict) -> bool:
@@ -60,6 +60,6 @@ def migrate(spark: SparkSession, file: str | Path, state_path: str, dry_run: boo
     return True
 
 
-def main(spark: SparkSession, root: str, dry_run: bool = False) -> dict[str, bool]:
-    """Migrate every old state below a root: each to ``.deduper.state`` beside it."""
-    return {str(f): migrate(spark, f, f"file://{f.parent.resolve()}/.deduper.state", dry_run, remove=not dry_run) for f in find(root)}
+def main(spark: SparkSession, root: str, name: str, dry_run: bool = False) -> dict[str, bool]:
+    """Migrate every old state of a name below a root: each to a state folder ``<name>.state`` beside it."""
+    return {str(f): migrate(spark, f, f"file://{f.parent.resolve()}/{name}.state", dry_run, remove=not dry_run) for f in find(root, name)}

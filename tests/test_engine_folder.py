@@ -43,7 +43,7 @@ def engine(spark, tmp_path):
     png(data / "pics/img_b.png", smooth(200, 200, 9))
     (data / "pics/broken.png").write_bytes(b"no picture")
     (data / "pics/notes.txt").write_text("x")
-    (data / "pics/thumb-deduper.v.mp4.jpg").write_bytes(b"x")
+    (data / "pics/thumb-frame.v.mp4.jpg").write_bytes(b"x")
     os.symlink(data / "pics/img_b.png", data / "pics/link.png")
     return Engine(spark, str(data), f"file://{tmp_path}/state", frame=lambda p: None, probe=lambda p: (0, 0, 0.0))
 

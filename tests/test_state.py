@@ -114,10 +114,10 @@ def test_a_failed_write_changes_nothing(spark, store):
 def test_old_files_are_brought_in(spark, path, tmp_path):
     old = {"version": "1.0", "created": 5, "grouping_timestamp": 7, "hashes": {"a": "00000000000000ff|0000000000000001", "b": "0f"}, "file_stats": {"a": {"mtime": 1.5, "size": 9}},
            "grouping_results": {"a": ["a", "b"]}, "best_files": {"g": "b"}, "groups": {"g": {"files": ["a", "b"], "processed": True}}}
-    f = tmp_path / "x" / ".deduper"
+    f = tmp_path / "x" / ".old"
     f.parent.mkdir()
     f.write_text(json.dumps(old))
-    assert legacy.find(str(tmp_path)) == [f]
+    assert legacy.find(str(tmp_path), ".old") == [f]
     assert legacy.migrate(spark, f, path, dry_run=True) and f.exists()
     assert legacy.migrate(spark, f, path, remove=True) and not f.exists()
     store = StateStore(spark, path)

@@ -161,8 +161,8 @@ def test_labels(spark):
     assert one(*[L.duration_label(F.lit(s)) for s in (0.0, 0.25, 0.35, 1.25)]) == ["Unknown", "0.2s", "0.3s", "1.2s"]
     assert one(L.normalize_extensions(F.array(F.lit("JPG"), F.lit(".jpg"), F.lit(" "), F.lit(""), F.lit("png"))))[0] == [".jpg", ".png"]
     assert one(*[L.link_target(F.lit(a), F.lit(b)) for a, b in (("x/a", "x/b"), ("a", "x/b"), ("x/y/a", "x/z/b"), ("x/a", "b"))]) == ["b", "x/b", "../z/b", "../b"]
-    assert one(L.thumb_path(F.lit("v/a.mp4")), L.thumb_path(F.lit("a.mkv"))) == ["v/thumb-deduper.a.mp4.jpg", "thumb-deduper.a.mkv.jpg"]
-    assert one(*[L.is_thumb(F.lit(p)) for p in ("thumb.x/a.png", "a/thumb-deduper.b.jpg", "a/thumbs.png")]) == [True, True, False]
+    assert one(L.thumb_path(F.lit("v/a.mp4")), L.thumb_path(F.lit("a.mkv"))) == ["v/thumb-frame.a.mp4.jpg", "thumb-frame.a.mkv.jpg"]
+    assert one(*[L.is_thumb(F.lit(p)) for p in ("thumb.x/a.png", "a/thumb-frame.b.jpg", "a/thumbs.png")]) == [True, True, False]
     assert one(*[L.safe_folder_name(F.lit(p)) for p in ("a b", "..", "a/b", "a\\b", "")]) == [True, False, False, False, False]
     assert one(*[L.similarity(F.lit(x)) for x in (0, 5, 12, None)]) == [1.0, 0.5, 0.0, 0.0]
     assert one(*[L.retry_delay(F.lit(s), F.lit(n)) for s, n in (("pending", 1), ("pending", 2), ("error", 3), ("error", 9), ("pending", 0))]) == [300.0, 600.0, 2400.0, 3600.0, 0.0]
