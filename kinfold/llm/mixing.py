@@ -88,7 +88,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     taken alike. An empty table gives an empty one. Columns may have any names but those starting with ``_mix_``.
     """
     hashed = materialize(docs.select(source_key(source).alias("s"), hash_of(key).alias("h"), size_of(text).alias("size")), "hashed")
-    cut = thresholds(hashed, **plan).select(F.col("s").alias("_mix_s"), F.col("whole").alias("_mix_whole"), F.col("threshold").alias("_mix_below"))
+    cut = materialize(thresholds(hashed, **plan), "thresholds").select(F.col("s").alias("_mix_s"), F.col("whole").alias("_mix_whole"), F.col("threshold").alias("_mix_below"))
     rows = docs.withColumn("_mix_s", source_key(source)).withColumn("_mix_h", hash_of(key)).join(cut, "_mix_s")
     times = F.col("_mix_whole") + (F.col("_mix_h") < F.col("_mix_below")).cast("int")
     return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -96,7 +96,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
 def op5_query(docs: DataFrame) -> DataFrame:
     hashed = materialize(docs.select("doc_id", source_key().alias("s"), hash_of().alias("h"), size_of().alias("size")), "hashed")
-    rows = hashed.join(thresholds(hashed), "s")
+    rows = hashed.join(materialize(thresholds(hashed), "thresholds"), "s")
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 

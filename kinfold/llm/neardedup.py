@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import batch, texts
 from kinfold.llm.simhash import Nearest, fingerprint_words, gray_rank, group_links, shingle_hashes
 from kinfold.operators.components import connected_components
-from kinfold.runtime import materialize, partitions_for
+from kinfold.runtime import materialize, partitions_for, small
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES, BITS, RADIUS = 4, 36, 14, 64
@@ -47,17 +47,19 @@ def entries(sketch: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, text: str) -> DataFrame:
-    """``docs(_near_id, text)`` to ``(id, words, sketch)``; ``words`` is a 128-bit digest of the words, empty if none."""
+def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs(_near_id, key, text)`` to ``(id, key, words, sketch)``; ``words`` is a 128-bit digest of the words, empty if
+    there are none."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            t = texts(b.column(1))
+            t = texts(b.column(2))
             f = fingerprint_words(t, SHINGLE, WORDS)
             words = [xxhash.xxh3_128_digest(w) if (w := b" ".join(x.lower().split())) else b"" for x in t]
-            yield batch(id=b.column(0), words=pa.array(words, pa.binary()), sketch=pa.array([r.tobytes() for r in f], pa.binary()))
+            yield batch(id=b.column(0), key=b.column(1), words=pa.array(words, pa.binary()), sketch=pa.array([r.tobytes() for r in f], pa.binary()))
 
-    return docs.select("_near_id", text).mapInArrow(run, "id long, words binary, sketch binary")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select("_near_id", key, text).mapInArrow(run, f"id long, key {kind}, words binary, sketch binary")
 
 
 def candidate_pairs(nodes: DataFrame, rows: int) -> DataFrame:
@@ -95,8 +97,8 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) ->
             sets = [np.unique(np.array(shingle_hashes(t, SHINGLE), np.uint64)).view(np.int64) for t in texts(b.column(1))]
             yield batch(id=b.column(0), shingles=pa.array(sets, pa.list_(pa.int64())))
 
-    ids = pairs.select(F.col("a").alias("_near_id")).unionAll(pairs.select(F.col("b").alias("_near_id"))).distinct()
-    sets = materialize(docs.select("_near_id", text).join(ids, "_near_id").mapInArrow(shingles, "id long, shingles array<long>"), "shingles")
+    ids = materialize(pairs.select(F.col("a").alias("_near_id")).unionAll(pairs.select(F.col("b").alias("_near_id"))).distinct(), "paired")
+    sets = materialize(docs.select("_near_id", text).join(small(ids), "_near_id").mapInArrow(shingles, "id long, shingles array<long>"), "shingles")
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -112,11 +114,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = materialize(docs.withColumn("_near_id", F.monotonically_increasing_id()), "rows")
-    known = materialize(sketches(rows, text), "sketches").join(rows.select(F.col("_near_id").alias("id"), F.col(key).alias("_near_key")), "id")
-    first = F.struct(F.col("_near_key").isNull().alias("none"), F.col("_near_key").alias("key"), "id")
-    nodes = materialize(known.groupBy("words").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")).select(F.col("first.id").alias("id"), "first", "sketch", (F.length("words") > 0).alias("some")), "nodes")
+    made = materialize(sketches(rows, key, text), "sketches")
+    first = F.struct(F.col("key").isNull().alias("none"), "key", "id")
+    nodes = materialize(made.groupBy("words").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")).select(F.col("first.id").alias("id"), "first", "sketch", (F.length("words") > 0).alias("some")), "nodes")
     pairs = materialize(candidate_pairs(nodes.where("some"), nodes.count()), "pairs")
     links = verified(pairs, rows, text, similarity)
     part = nodes.join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left")
-    kept = part.groupBy(F.coalesce("component", "id").alias("part")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("_near_id"))
-    return rows.join(kept, "_near_id", "left_semi").select(*columns)
+    kept = part.groupBy(F.coalesce("component", "id").alias("part")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"))
+    gone = materialize(made.select("id").join(kept, "id", "left_anti").withColumnRenamed("id", "_near_id"), "gone")
+    return rows.join(small(gone), "_near_id", "left_anti").select(*columns)
