@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import batch
+from kinfold.llm.common import batch, release
 from kinfold.runtime import materialize
 
 CAPACITY = 2048
 #: Distinct words that a generation of a tokenizing worker's memory keeps, and the length of the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+CACHE_WORDS, CACHE_LENGTH = 250_000, 64
 #: Bytes of text whose distinct words are looked up together.
-TOGETHER = 16_000_000
+TOGETHER = 8_000_000
 #: Punctuation that may close a word and is encoded by itself.
 CLOSING = ".,!?;:"
 #: Fillings that the search may choose over all its branches before it keeps its incumbent.
@@ -159,6 +159,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
                         ids.append(np.frombuffer(part, "<i4"))
             out = {"key": b.column(0).take(pa.array(rows, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
             yield batch(**out, **({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}))
+        del words
+        release()
 
     schema = f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
