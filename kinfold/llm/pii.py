@@ -242,11 +242,11 @@ def written(type_: Column, raw: Column, sur: Column) -> Column:
     return F.when(type_.isin("family", "given"), name).when(type_.isin("card", "ssn", "phone", "iban"), spaced).when(type_.isin("email", "ipv6") & (raw != F.lower(raw)) & same, cased).otherwise(sur)
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """``docs`` with every entity in ``text`` replaced, and ``n_entities``, the mentions replaced.
+def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, count: str = "n_entities") -> DataFrame:
+    """``docs`` with every entity in ``text`` replaced, and a column ``count``, the mentions replaced.
 
     Null texts stay null and have no entity; all rows come back, repeated ones as often as given. Columns may have any
-    names but ``n_entities`` and those starting with ``_pii_``.
+    names but that of ``count`` and those starting with ``_pii_``.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     body = F.col(f"`{text}`")
@@ -267,8 +267,8 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     mention = lambda i: F.array_join(F.transform(F.filter("_pii_new", lambda x: x["at"] == i), lambda x: x["new"]), "")
     rebuilt = F.array_join(F.transform("_pii_pieces", lambda p, i: F.concat(p, mention(i))), "")
     joined = hits.withColumn("_pii_pieces", pieces).join(lists, "_pii_id")
-    changed = joined.select(*[rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], (F.size("_pii_pieces") - 1).alias("n_entities"))
-    return docs.where(~marked).select(*columns, F.lit(0).alias("n_entities")).unionAll(changed)
+    changed = joined.select(*[rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], (F.size("_pii_pieces") - 1).alias(count))
+    return docs.where(~marked).select(*columns, F.lit(0).alias(count)).unionAll(changed)
 
 
 def op4_query(docs: DataFrame) -> DataFrame:

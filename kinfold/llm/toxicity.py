@@ -158,24 +158,24 @@ def fit(labelled: DataFrame, features: int = FEATURES) -> Model:
     return Model(buckets, weights, intercept)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``: how likely each whole text is toxic. Null and empty texts have no feature and get the
-    intercept's score. A column named score must not be there already."""
+def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
+    """``docs`` with a new column: how likely each whole text is toxic. Null and empty texts have no feature and get the
+    intercept's score. A column of that name must not be there already."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = held.value.scorer()
         for b in it:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t) for t in b.column(at).to_pylist()], pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t) for t in b.column(at).to_pylist()], pa.float64())], [*b.schema.names, column])
 
-    return docs.mapInArrow(run, _with_score(docs.schema))
+    return docs.mapInArrow(run, _with_score(docs.schema, column))
 
 
-def _with_score(schema):
+def _with_score(schema, column: str):
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return StructType([*schema.fields, StructField("score", DoubleType())])
+    return StructType([*schema.fields, StructField(column, DoubleType())])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out=None) -> DataFrame:
