@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages: toxicity, near-duplicates, personal data, source mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before kept; its result is written as Parquet
-and read again. All but the last return the columns of ``documents``.
+and read again. All but the last return the columns that they were given, those of ``documents``.
 """
 
 from __future__ import annotations
@@ -13,35 +13,34 @@ from pyspark.sql import functions as F
 from kinfold.llm import mixing, neardedup, packing, pii, toxicity
 from kinfold.runtime import materialize, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from labelled documents outside the held-out third."""
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), held_out=toxicity.is_held_out()))
-    return toxicity.score(docs.select(*COLUMNS), model).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+    return toxicity.score(docs, model, column="_toxic_score").where(F.col("_toxic_score") < toxicity.THRESHOLD).drop("_toxic_score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return neardedup.near_dedup(docs.select(*COLUMNS))
+    return neardedup.near_dedup(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates; ``n_chars`` follows a changed text."""
-    out = pii.pseudonymize(docs.select(*COLUMNS))
-    n_chars = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*COLUMNS)
+    out = pii.pseudonymize(docs, count="_pii_mentions")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_pii_mentions") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("_pii_mentions")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.mix_sources(docs.select(*COLUMNS))
+    return mixing.mix_sources(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
