@@ -31,9 +31,9 @@ from kinfold.runtime import materialize
 
 CAPACITY = 2048
 #: Distinct words that a generation of a tokenizing worker's memory keeps, and the length of the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 250_000, 64
-#: Bytes of text whose distinct words are looked up together.
-TOGETHER = 8_000_000
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+#: Bytes of text whose distinct words are looked up together, and words whose ids are put in place together.
+TOGETHER, GATHERED = 18_000_000, 400_000
 #: Punctuation that may close a word and is encoded by itself.
 CLOSING = ".,!?;:"
 #: Fillings that the search may choose over all its branches before it keeps its incumbent.
@@ -61,7 +61,7 @@ class WordTokenizer:
             self.last[[i for t, i in self.encoder.get_vocab().items() if t.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.closing: dict[str, bytes] = {"": b""}
+        self.closing: dict[str, bytes] = {}
 
     def _plain(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(words, add_special_tokens=False)]
@@ -81,56 +81,81 @@ class WordTokenizer:
                 out += self._plain(part)
         return out
 
-    def _known(self, words: list[str]) -> list[bytes]:
+    def _known(self, words: pa.Array) -> list[bytes]:
         """Ids of distinct words. What is remembered are words without their closing punctuation."""
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
-        cores = [w.rstrip(CLOSING) for w in words]
-        simple = [c.isalpha() and (c.isascii() or c.lower().isalpha()) for c in cores]
-        if not all(simple):
-            cores = [c if s else w for w, c, s in zip(words, cores, simple, strict=True)]
+        bare = pc.utf8_rtrim(words, characters=CLOSING)
+        plain, other = (np.asarray(x) for x in (pc.and_(pc.string_is_ascii(bare), pc.ascii_is_alpha(bare)), pc.invert(pc.string_is_ascii(bare))))
+        for i in np.flatnonzero(other).tolist():
+            w = bare[i].as_py()
+            plain[i] = w.isalpha() and w.lower().isalpha()
+        coded = pc.if_else(pa.array(plain), bare, words).dictionary_encode()
+        cores, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        simple = np.zeros(len(cores), bool)
+        simple[which] = plain
         found = list(map(self.young.get, cores))
-        new = {c: s for c, s, x in zip(cores, simple, found, strict=True) if x is None}
-        old = self.old
-        fresh = {w: old[w] for w in new if w in old}
-        letters = [w for w, s in new.items() if s and w not in fresh]
-        others = [w for w, s in new.items() if not s and w not in fresh]
-        fresh.update(zip(letters, self._letters(letters), strict=True))
-        fresh.update(zip(others, self._plain(others), strict=True))
-        self.young.update({w: x for w, x in fresh.items() if len(w) <= CACHE_LENGTH})
-        ends = [w[len(c) :] for w, c in zip(words, cores, strict=True)]
-        closing = self.closing if len(self.closing) < 10_000 else {"": b""}
+        new = [i for i, x in enumerate(found) if x is None]
+        old, young = self.old, self.young
+        letters, others = [], []
+        for i in new:
+            w = cores[i]
+            x = old.get(w)
+            if x is None:
+                (letters if simple[i] else others).append(i)
+            else:
+                found[i] = young[w] = x
+        for these, encode in ((letters, self._letters), (others, self._plain)):
+            for i, x in zip(these, encode([cores[i] for i in these]), strict=True):
+                found[i] = x
+                if len(cores[i]) <= CACHE_LENGTH:
+                    young[cores[i]] = x
+        out = list(map(found.__getitem__, which.tolist()))
+        closed = np.flatnonzero(plain & (np.asarray(pc.binary_length(words)) != np.asarray(pc.binary_length(bare))))
+        ends = [w[len(c) :] for w, c in zip(words.take(pa.array(closed)).to_pylist(), bare.take(pa.array(closed)).to_pylist(), strict=True)]
+        closing = self.closing if len(self.closing) < 10_000 else {}
         unseen = [e for e in set(ends) if e not in closing]
         closing.update(zip(unseen, self._plain(unseen), strict=True))
         self.closing = closing
-        return [(fresh[c] if x is None else x) + closing[e] for c, x, e in zip(cores, found, ends, strict=True)]
+        for i, e in zip(closed.tolist(), ends, strict=True):
+            out[i] += closing[e]
+        return out
 
     def ids(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text of a string array, null as empty."""
         texts = pc.fill_null(texts, "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < len(texts):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER)))
+        for at, stop in _runs(np.asarray(pc.binary_length(texts)), TOGETHER):
             yield from self._ids(texts.slice(at, stop - at))
-            at = stop
 
     def _ids(self, texts: pa.Array) -> Iterator[bytes]:
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are matched before upper case is dropped
             texts = pc.ascii_lower(texts)
         words = pc.ascii_split_whitespace(texts)
+        per_text = np.asarray(words.value_lengths())
         coded = words.flatten().dictionary_encode()
-        ids = self._known(coded.dictionary.to_pylist())
+        del words
+        ids = self._known(coded.dictionary)
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens
-        which = coded.indices.to_numpy()
-        n = lens[which]
-        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-        tokens = flat[np.repeat(first[which] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(words.value_lengths().to_numpy())])
-        cuts = (4 * upto[bounds]).tolist()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield tokens[a:b]
+        del ids
+        which, bounds = coded.indices.to_numpy(), np.concatenate([np.zeros(1, np.int64), np.cumsum(per_text)])
+        for at, stop in _runs(per_text, GATHERED):
+            w = which[bounds[at] : bounds[stop]]
+            n = lens[w]
+            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+            tokens = flat[np.repeat(first[w] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+            cuts = (4 * upto[bounds[at : stop + 1] - bounds[at]]).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield tokens[a:b]
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive members whose sizes add up to about ``most``, one member at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
+        yield at, stop
+        at = stop
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
