@@ -176,6 +176,7 @@ def duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     at_boundary = docs.join(lists.where(F.size("opened") > 0).select("key", "opened"), "key")
     windows = materialize(at_boundary.select("key", "text", "opened").mapInArrow(open_blocks, f"key {kind}, h1 long, h2 long"), "windows")
     lowest = windows.groupBy("h1", "h2").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").drop("high")
+    lowest = materialize(lowest, "lowest")  # so that the join below has exchanges of its own and a hot window can be split
     seen = windows.join(lowest, ["h1", "h2"]).where("low < key").groupBy("key").agg(F.collect_set(F.struct("h1", "h2")).alias("seen"))
     known = lists.where(F.size("known") > 0).select("key", "known")
     marks = known.join(seen, "key", "full").join(lists.where(F.size("opened") > 0).select("key", "opened"), "key", "left")
