@@ -28,25 +28,40 @@ from kinfold.runtime import materialize, partitions_for, small
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES, BITS, RADIUS = 4, 36, 14, 64
+#: Documents of a table entry that one task compares; an entry with more is dealt by further bits of its own.
+MAX_ENTRY, MORE_BITS = 20_000, 12
 
 
 def table_bits() -> np.ndarray:
     """The sketch bits that each table files by: fixed random choices."""
     r = np.random.default_rng(20)
-    return np.stack([r.permutation(64 * WORDS)[:BITS] for _ in range(TABLES)])
+    return np.stack([r.permutation(64 * WORDS)[: BITS + MORE_BITS] for _ in range(TABLES)])
 
 
 def entries(sketch: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The entry of each sketch (rows x WORDS) in each table, table number included."""
+    """The value of each sketch (rows x WORDS) at the bits of each table, after the table's number."""
     out = np.empty((len(sketch), len(bits)), np.int64)
     for t, own in enumerate(bits):
-        key = np.zeros(len(sketch), np.int64)
+        key = np.full(len(sketch), t, np.int64)
         for b in own.tolist():
             key = key << 1 | (sketch[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)).astype(np.int64)
-        out[:, t] = t << BITS | key
+        out[:, t] = key
     return out
 
 
+def large_entries(nodes: DataFrame, bits: np.ndarray, most: int) -> DataFrame:
+    """Table entries with over ``most`` documents: ``(entry)``."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sketch = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64).reshape(-1, WORDS)
+            entry, n = np.unique(entries(sketch, bits[:, :BITS]), return_counts=True)
+            yield batch(entry=pa.array(entry), n=pa.array(n.astype(np.int64)))
+
+    found = nodes.select("sketch").mapInArrow(count, "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return materialize(found.where(F.col("n") > most).select("entry"), "large")
+
+
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``docs(_near_id, key, text)`` to ``(id, key, words, sketch)``; ``words`` is a 128-bit digest of the words, empty if
     there are none."""
@@ -62,8 +77,12 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select("_near_id", key, text).mapInArrow(run, f"id long, key {kind}, words binary, sketch binary")
 
 
-def candidate_pairs(nodes: DataFrame, rows: int) -> DataFrame:
-    """``nodes(id, sketch)`` to distinct ``(a, b)`` with a < b: each node with the nearest of its entry in each table."""
+def candidate_pairs(nodes: DataFrame, rows: int, most: int = MAX_ENTRY) -> DataFrame:
+    """``nodes(id, sketch)`` to distinct ``(a, b)`` with a < b: each node with the nearest of its entry in each table.
+
+    An entry with over ``most`` documents holds families of near copies; there a document meets those that agree on
+    ``MORE_BITS`` further bits as well.
+    """
     bits = table_bits()
 
     def file(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +91,7 @@ def candidate_pairs(nodes: DataFrame, rows: int) -> DataFrame:
             at, entry = np.repeat(np.arange(b.num_rows), TABLES), entries(sketch, bits).ravel()
             for s in range(0, len(at), 65536):
                 part = pa.array(at[s : s + 65536])
-                yield batch(entry=pa.array(entry[s : s + 65536]), id=b.column(0).take(part), sketch=b.column(1).take(part))
+                yield batch(full=pa.array(entry[s : s + 65536]), id=b.column(0).take(part), sketch=b.column(1).take(part))
 
     def nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = [x for x in it if x.num_rows]
@@ -80,12 +99,20 @@ def candidate_pairs(nodes: DataFrame, rows: int) -> DataFrame:
             return
         entry, ids = (np.concatenate([x.column(i).to_numpy() for x in b]) for i in (0, 1))
         sketch = np.frombuffer(b"".join(v for x in b for v in x.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
+        by = np.argsort(ids)  # ties go by id, in whatever order rows arrived
+        entry, ids, sketch = entry[by], ids[by], sketch[by]
         i, j = group_links(entry, gray_rank(sketch[:, 0]), sketch, RADIUS, Nearest)
         pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1), axis=0)
         yield batch(a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
 
     n = partitions_for(nodes.sparkSession, rows * TABLES, 200_000)
-    filed = nodes.select("id", "sketch").mapInArrow(file, "entry long, id long, sketch binary")
+    filed = nodes.select("id", "sketch").mapInArrow(file, "full long, id long, sketch binary").withColumn("entry", F.shiftright("full", MORE_BITS))
+    large = large_entries(nodes, bits, most)
+    if large.isEmpty():
+        filed = filed.select("entry", "id", "sketch")
+    else:
+        filed = filed.join(small(large.withColumn("large", F.lit(True))), "entry", "left")
+        filed = filed.select(F.when(F.col("large"), -F.col("full") - 1).otherwise(F.col("entry")).alias("entry"), "id", "sketch")
     return filed.repartition(n, "entry").mapInArrow(nearest, "a long, b long").distinct()
 
 

@@ -66,3 +66,23 @@ def test_nearest():
     np.fill_diagonal(d, 99)
     assert (d[i, j] == d[i].min(axis=1)).all()
     assert set(i) == set(np.flatnonzero(d.min(axis=1) <= 20))
+
+
+def test_large_entries_are_dealt_by_further_bits(spark, monkeypatch):
+    """A family of near copies that fills table entries still meets itself."""
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        t = list(base)
+        for _ in range(3):
+            t[rnd.randrange(300)] = f"e{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, " ".join(f"x{rnd.randrange(5000)}" for _ in range(200))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    f = neardedup.candidate_pairs
+    for most in (20_000, 40):
+        monkeypatch.setattr(neardedup, "candidate_pairs", lambda nodes, n, most=most: f(nodes, n, most))
+        kept = sorted(r.doc_id for r in neardedup.near_dedup(df).collect())
+        assert kept[0] == 0 and [k for k in kept if k >= 1000] == list(range(1000, 1050))
+        assert len(kept) <= 50 + 1 + 6
