@@ -23,8 +23,13 @@ def batch(**columns) -> pa.RecordBatch:
 
 
 def release() -> None:
-    """Give freed memory back to the system: a Python worker outlives its tasks and shares its executor's memory."""
+    """Free what is unreachable and give it back: a Python worker outlives its tasks and shares its executor's memory."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -26,19 +26,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import batch, release
+from kinfold.llm.common import batch, release, trim
 from kinfold.runtime import materialize
 
 CAPACITY = 2048
 #: Distinct words that a generation of a tokenizing worker's memory keeps, and the length of the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+CACHE_WORDS, CACHE_LENGTH = 80_000, 64
 #: Bytes of text whose distinct words are looked up together, and words whose ids are put in place together.
-TOGETHER, GATHERED = 18_000_000, 400_000
+TOGETHER, GATHERED = 12_000_000, 200_000
 #: Punctuation that may close a word and is encoded by itself.
 CLOSING = ".,!?;:"
 #: Fillings that the search may choose over all its branches before it keeps its incumbent.
 SEARCH_NODES = 30_000
-SALTED_ROWS = 50_000
+#: Pieces of one length that are numbered together.
+SALTED_ROWS = 4_000
 
 
 class WordTokenizer:
@@ -126,6 +127,7 @@ class WordTokenizer:
         texts = pc.fill_null(texts, "")
         for at, stop in _runs(np.asarray(pc.binary_length(texts)), TOGETHER):
             yield from self._ids(texts.slice(at, stop - at))
+            trim()
 
     def _ids(self, texts: pa.Array) -> Iterator[bytes]:
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are matched before upper case is dropped
@@ -386,8 +388,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", o
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most ``capacity`` rows
     fills = Search(capacity).run(counts)
     plan = spark.createDataFrame(slots(fills) or [(0, 0, 0, 0, 0)], f"{length} long, first long, ranks long, base long, offset long")
-    salts = 1 + sum(counts.values()) // SALTED_ROWS
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salts = spark.createDataFrame([(k, 1 + n // SALTED_ROWS) for k, n in counts.items()] or [(0, 1)], f"{length} long, salts long")
+    salted = pieces.join(F.broadcast(salts), length).withColumn("salt", F.pmod(F.xxhash64(*order), "salts")).drop("salts")
     before = Window.partitionBy(length).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     ahead = salted.groupBy(length, "salt").count().select(length, "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(length, "salt").orderBy(*order)) - 1)
