@@ -36,26 +36,41 @@ def rules_of(url: str = "url") -> dict[str, Column]:
     }
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """``(rule, since, start, stop, blocks, allows)``: disjoint validity intervals in which a list holds the rule.
+def intervals(entries: DataFrame, last_day) -> DataFrame:
+    """``(rule, day, since, start, stop, blocks, allows)``: disjoint validity intervals in which a list holds the rule,
+    cut at day ends, up to ``last_day``.
 
     ``entries`` is ``(rule, ts, seq, list, action)`` with list block or allow and action add or remove. Entries of one
-    time count in the order of ``seq``, the last decides. ``since`` is the seq of the entry that opens the interval;
-    ``stop`` is null while it lasts. Entries with a null rule or time say nothing.
-    """
-    by = Window.partitionBy("rule").orderBy("ts", "seq")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    held = lambda name: F.coalesce(F.last(F.when(F.col("list") == name, F.col("action") == "add"), ignorenulls=True).over(upto), F.lit(False))
-    known = entries.where("rule is not null and ts is not null")
-    state = known.select("rule", F.col("seq").alias("since"), F.col("ts").alias("start"), F.lead("ts").over(by).alias("stop"), held("block").alias("blocks"), held("allow").alias("allows"))
-    return state.where("(blocks or allows) and (stop is null or start < stop)")
-
+    time count in the order of ``seq``, the last decides. ``since`` is the seq of the entry that opened the state;
+    ``stop`` is null where it lasts to the end of the day. Entries with a null rule or time say nothing.
 
-def by_day(found: DataFrame, last_day) -> DataFrame:
-    """Intervals with a row for each day they touch, up to ``last_day`` where they have no end."""
-    to = F.least(F.coalesce(F.to_date("stop"), F.lit(last_day)), F.lit(last_day))
-    from_ = F.to_date("start")
-    return found.where(from_ <= to).withColumn("day", F.explode(F.sequence(from_, to)))
+    A day's intervals follow from its own entries and the state it begins with, which follows from one row for each day
+    before: a rule with many entries is worked on day by day in many tasks.
+    """
+    kind = entries.schema["ts"].dataType.simpleString()
+    known = entries.where("rule is not null and ts is not null").withColumn("day", F.to_date("ts")).where(F.col("day") <= F.lit(last_day))
+    order = F.struct("ts", "seq")
+    adds = lambda name: F.when(F.col("list") == name, F.col("action") == "add")
+    last = lambda name: F.max_by(adds(name), F.when(F.col("list") == name, order))
+    days = known.groupBy("rule", "day").agg(last("block").alias("b"), last("allow").alias("a"), F.max_by("seq", order).alias("seq"), F.min("ts").alias("first"))
+    by = Window.partitionBy("rule").orderBy("day")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    no = F.lit(False)
+    days = materialize(days.select(
+        "rule", "day", "seq", "first", F.lead("day").over(by).alias("next"),
+        F.coalesce(F.last("b", ignorenulls=True).over(before), no).alias("b0"), F.coalesce(F.last("a", ignorenulls=True).over(before), no).alias("a0"), F.lag("seq").over(by).alias("seq0"),
+        F.coalesce(F.last("b", ignorenulls=True).over(by), no).alias("b1"), F.coalesce(F.last("a", ignorenulls=True).over(by), no).alias("a1"),
+    ), "days")
+    own = Window.partitionBy("rule", "day").orderBy("ts", "seq")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    held = lambda name, start: F.coalesce(F.last(adds(name), ignorenulls=True).over(upto), F.col(start))
+    inside = known.join(days.select("rule", "day", "b0", "a0"), ["rule", "day"]).select("rule", "day", F.col("seq").alias("since"), F.col("ts").alias("start"), F.lead("ts").over(own).alias("stop"), held("block", "b0").alias("blocks"), held("allow", "a0").alias("allows"))
+    midnight = F.col("day").cast(kind)
+    opening = days.where("b0 or a0").select("rule", "day", F.col("seq0").alias("since"), midnight.alias("start"), F.col("first").alias("stop"), F.col("b0").alias("blocks"), F.col("a0").alias("allows"))
+    end = F.coalesce(F.date_sub("next", 1), F.lit(last_day))
+    idle = days.where((F.col("b1") | F.col("a1")) & (F.date_add("day", 1) <= end)).withColumn("day", F.explode(F.sequence(F.date_add("day", 1), end)))
+    idle = idle.select("rule", "day", F.col("seq").alias("since"), midnight.alias("start"), F.lit(None).cast(kind).alias("stop"), F.col("b1").alias("blocks"), F.col("a1").alias("allows"))
+    return inside.unionByName(opening).unionByName(idle).where("(blocks or allows) and (stop is null or start < stop)")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetch_ts") -> DataFrame:
@@ -67,7 +82,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     last_day = captures.agg(F.max(F.to_date(fetched))).first()[0]
     rows = captures.select("*", *[r.alias(f"_url_{k}") for k, r in rules_of(url).items()], F.to_date(fetched).alias("_url_day"))
     if last_day is not None:
-        days = materialize(by_day(intervals(entries), last_day), "intervals")
+        days = materialize(intervals(entries, last_day), "intervals")
         for k in LEVELS:
             own = days.select(
                 F.col("rule").alias(f"_url_{k}"), F.col("day").alias("_url_day"), F.col("start").alias("_url_start"), F.col("stop").alias("_url_stop"),

@@ -53,11 +53,15 @@ def test_verdicts_equal_replaying_the_list(spark):
     assert urlfilter.evaluate(c.unionAll(c), e).count() == 2 * len(captures)
 
 
-def test_intervals_do_not_overlap(spark):
-    e = spark.createDataFrame([("r", T0, 1, "block", "add"), ("r", T0, 2, "block", "remove"), ("r", T0 + timedelta(days=2), 3, "allow", "add"), ("r", T0 + timedelta(days=5), 4, "allow", "remove")], "rule string, ts timestamp_ntz, seq long, list string, action string")
-    (r,) = urlfilter.intervals(e).collect()
-    assert (r.since, r.stop - r.start, r.blocks, r.allows) == (3, timedelta(days=3), False, True)
-    assert urlfilter.by_day(urlfilter.intervals(e), (T0 + timedelta(days=3)).date()).count() == 2
+def test_intervals_are_cut_at_day_ends(spark):
+    hour = timedelta(hours=1)
+    rows = [("r", T0, 1, "block", "add"), ("r", T0, 2, "block", "remove"), ("r", T0 + 50 * hour, 3, "allow", "add"), ("r", T0 + 60 * hour, 4, "block", "add"), ("r", T0 + 120 * hour, 5, "allow", "remove"), ("r", T0 + 999 * hour, 6, "allow", "add")]
+    e = spark.createDataFrame(rows, "rule string, ts timestamp_ntz, seq long, list string, action string")
+    got = [(r.day.day, r.since, (r.start - T0) / hour, None if r.stop is None else (r.stop - T0) / hour, r.blocks, r.allows) for r in urlfilter.intervals(e, (T0 + 150 * hour).date()).orderBy("start").collect()]
+    assert got == [
+        (3, 3, 50, 60, False, True), (3, 4, 60, None, True, True), (4, 4, 72, None, True, True), (5, 4, 96, None, True, True),
+        (6, 5, 120, None, True, False), (7, 5, 144, None, True, False),
+    ]
 
 
 def test_sql_gives_the_same(spark, sf_small):
