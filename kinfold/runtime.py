@@ -36,15 +36,27 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+#: Rows of an Arrow batch where rows hold whole texts.
+TEXT_ROWS = 2_000
+
+
+def materialize(df: DataFrame, name: str = "step", batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs the tasks that were running, and each later use reads
+    ``batch_rows`` bounds the Arrow batches of this write: batches of whole texts are large, and both the executor and its
+    Python worker hold some at a time. This cuts the lineage: a lost executor costs the tasks that were running, and each later use reads
     the table instead of computing it once more. The table is removed when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch_rows:
+            spark.conf.set(key, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
