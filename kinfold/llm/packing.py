@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import batch, release, trim
-from kinfold.runtime import materialize
+from kinfold.runtime import TEXT_ROWS, materialize
 
 CAPACITY = 2048
 #: Distinct words that a generation of a tokenizing worker's memory keeps, and the length of the longest word kept.
@@ -39,7 +39,7 @@ CLOSING = ".,!?;:"
 #: Fillings that the search may choose over all its branches before it keeps its incumbent.
 SEARCH_NODES = 30_000
 #: Pieces of one length that are numbered together.
-SALTED_ROWS = 4_000
+SALTED_ROWS = 1_000
 
 
 class WordTokenizer:
@@ -151,6 +151,20 @@ class WordTokenizer:
                 yield tokens[a:b]
 
 
+def gathered(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in it:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive members whose sizes add up to about ``most``, one member at least."""
     ends, at = np.cumsum(sizes), 0
@@ -170,7 +184,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer(tokenizer)
-        for b in it:
+        for b in gathered(it, TOGETHER):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, x in enumerate(words.ids(b.column(1))):
                 x += end
@@ -407,7 +421,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     An empty table gives an empty one.
     """
-    pieces = materialize(tokenize_pieces(docs, tokenizer, key, text, capacity, end_id, with_ids), "pieces")
+    pieces = materialize(tokenize_pieces(docs, tokenizer, key, text, capacity, end_id, with_ids), "pieces", TEXT_ROWS)
     return place(pieces, capacity, order=(key, "piece"))
 
 
