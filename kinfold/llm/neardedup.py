@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import batch, texts
 from kinfold.llm.simhash import Nearest, fingerprint_words, gray_rank, group_links, shingle_hashes
 from kinfold.operators.components import connected_components
-from kinfold.runtime import materialize, partitions_for, small
+from kinfold.runtime import TEXT_ROWS, materialize, partitions_for, small
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES, BITS, RADIUS = 4, 36, 14, 64
@@ -99,7 +99,7 @@ def candidate_pairs(nodes: DataFrame, rows: int, most: int = MAX_ENTRY) -> DataF
             return
         entry, ids = (np.concatenate([x.column(i).to_numpy() for x in b]) for i in (0, 1))
         sketch = np.frombuffer(b"".join(v for x in b for v in x.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
-        by = np.argsort(ids)  # ties go by id, in whatever order rows arrived
+        by = np.lexsort(sketch.T)  # ties go by content, however rows are numbered and in whatever order they arrive
         entry, ids, sketch = entry[by], ids[by], sketch[by]
         i, j = group_links(entry, gray_rank(sketch[:, 0]), sketch, RADIUS, Nearest)
         pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1), axis=0)
@@ -125,7 +125,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) ->
             yield batch(id=b.column(0), shingles=pa.array(sets, pa.list_(pa.int64())))
 
     ids = materialize(pairs.select(F.col("a").alias("_near_id")).unionAll(pairs.select(F.col("b").alias("_near_id"))).distinct(), "paired")
-    sets = materialize(docs.select("_near_id", text).join(small(ids), "_near_id").mapInArrow(shingles, "id long, shingles array<long>"), "shingles")
+    sets = materialize(docs.select("_near_id", text).join(small(ids), "_near_id").mapInArrow(shingles, "id long, shingles array<long>"), "shingles", TEXT_ROWS)
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -141,7 +141,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = materialize(docs.withColumn("_near_id", F.monotonically_increasing_id()), "rows")
-    made = materialize(sketches(rows, key, text), "sketches")
+    made = materialize(sketches(rows, key, text), "sketches", TEXT_ROWS)
     first = F.struct(F.col("key").isNull().alias("none"), "key", "id")
     nodes = materialize(made.groupBy("words").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")).select(F.col("first.id").alias("id"), "first", "sketch", (F.length("words") > 0).alias("some")), "nodes")
     pairs = materialize(candidate_pairs(nodes.where("some"), nodes.count()), "pairs")
