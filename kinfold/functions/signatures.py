@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.runtime import spread
+
 #: Words of a text: runs of other than ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Bits of a lane of the packed counters, and positions that are counted before lanes are unpacked.
@@ -38,7 +40,7 @@ def text_signatures(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     Keys must be unique. A text without words, null ones among them, has null signatures, as a file that cannot be read.
     """
-    words = texts.select(key, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0)).alias("w"))
+    words = spread(texts.select(key, text)).select(key, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0)).alias("w"))
     one = words.select(key, F.posexplode("w").alias("pos", "t")).select(key, "pos", token_hash(F.col("t")).alias("h"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
     two = words.where(F.size("w") > 1).select(key, F.posexplode(pairs).alias("pos", "t")).select(key, "pos", token_hash(F.col("t")).alias("h"))

@@ -77,3 +77,10 @@ def partitions_for(spark: SparkSession, rows: int, per_task: int = ROWS_PER_TASK
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A materialized narrow table, marked for broadcast if it has ``most`` rows at most; else left to a shuffle join."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan gives fewer partitions (a small table in one file); as it is otherwise, so that
+    large tables are not shuffled for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
