@@ -30,6 +30,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES, BITS, RADIUS = 4, 36, 14, 64
 #: Documents of a table entry that one task compares; an entry with more is dealt by further bits of its own.
 MAX_ENTRY, MORE_BITS = 20_000, 12
+#: How many times as many partners a document has in the next round.
+MORE = 16
+#: Pairs that a task of the later rounds holds at a time, about.
+HELD = 4_000_000
 
 
 def table_bits() -> np.ndarray:
@@ -77,37 +81,98 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select("_near_id", key, text).mapInArrow(run, f"id long, key {kind}, words binary, sketch binary")
 
 
-def candidate_pairs(nodes: DataFrame, rows: int, most: int = MAX_ENTRY) -> DataFrame:
-    """``nodes(id, sketch)`` to distinct ``(a, b)`` with a < b: each node with the nearest of its entry in each table.
+class Counted(Nearest):
+    """The nearest row of each row, and how many rows it was paired with."""
 
-    An entry with over ``most`` documents holds families of near copies; there a document meets those that agree on
-    ``MORE_BITS`` further bits as well.
-    """
+    def __init__(self, n: int):
+        super().__init__(n)
+        self.partners = np.zeros(n, np.int64)
+
+    def join(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
+        super().join(i, j, distance)
+        self.partners += np.bincount(i, minlength=len(self.best)) + np.bincount(j, minlength=len(self.best))
+
+
+class Nearby:
+    """For each row the ``most`` nearest rows of other components that it was paired with, and how many there were."""
+
+    def __init__(self, component: np.ndarray, most: int):
+        self.component, self.most = component, most
+        self.label = np.arange(len(component))
+        self.partners = np.zeros(len(component), np.int64)
+        self.reach = np.full(len(component), RADIUS + 1)  # from this distance on a row takes no more
+        self.held, self.new = np.zeros((3, 0), np.int64), []
+
+    def join(self, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
+        other = self.component[i] != self.component[j]
+        row, distance, partner = np.r_[i[other], j[other]], np.r_[distance[other], distance[other]], np.r_[j[other], i[other]]
+        self.partners += np.bincount(row, minlength=len(self.label))
+        nearer = distance < self.reach[row]
+        self.new.append(np.stack([row, distance, partner])[:, nearer])
+        if sum(x.shape[1] for x in self.new) > HELD // 4:
+            self.cut()
+
+    def cut(self) -> np.ndarray:
+        """(row, distance, partner) of what is held, the nearest ``most`` of each row."""
+        x = np.concatenate([self.held, *self.new], axis=1)
+        x = x[:, np.lexsort((x[2], x[1], x[0]))]
+        rank = np.arange(x.shape[1]) - np.searchsorted(x[0], x[0])
+        self.held, self.new = x[:, rank < self.most], []
+        last = x[:, rank == self.most - 1]
+        self.reach[last[0]] = last[1]
+        return self.held
+
+
+def file(nodes: DataFrame) -> DataFrame:
+    """``nodes(id, sketch, ...)`` to ``(full, id, sketch, ...)``, a row for each table."""
     bits = table_bits()
 
-    def file(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sketch = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
             at, entry = np.repeat(np.arange(b.num_rows), TABLES), entries(sketch, bits).ravel()
             for s in range(0, len(at), 65536):
                 part = pa.array(at[s : s + 65536])
-                yield batch(full=pa.array(entry[s : s + 65536]), id=b.column(0).take(part), sketch=b.column(1).take(part))
+                yield pa.RecordBatch.from_arrays([pa.array(entry[s : s + 65536]), *(c.take(part) for c in b.columns)], ["full", *b.schema.names])
+
+    return nodes.mapInArrow(run, "full long, " + ", ".join(f"{n} {k}" for n, k in nodes.dtypes))
+
+
+def gathered_entries(b: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """Columns of batches ``(entry, id, sketch, ...)``, the sketch as rows x WORDS."""
+    numbers = [np.concatenate([x.column(i).to_numpy() for x in b]) for i in range(b[0].num_columns) if i != 2]
+    sketch = np.frombuffer(b"".join(v for x in b for v in x.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
+    return (*numbers[:2], sketch, *numbers[2:])
 
+
+def proposed(a: np.ndarray, b: np.ndarray, over: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs in order, and ``(id, null)`` for the ids in ``over``."""
+    pairs, over = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0), np.unique(over)
+    yield batch(a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
+    yield batch(a=pa.array(over), b=pa.nulls(len(over), pa.int64()))
+
+
+def candidate_pairs(nodes: DataFrame, rows: int, most: int = MAX_ENTRY) -> DataFrame:
+    """``nodes(id, sketch)`` to distinct ``(a, b)`` with a < b: each node with the nearest of its entry in each table; and
+    ``(a, null)`` for a node that has partners left over.
+
+    An entry with over ``most`` documents holds families of near copies; there a document meets those that agree on
+    ``MORE_BITS`` further bits as well.
+    """
     def nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = [x for x in it if x.num_rows]
         if not b:
             return
-        entry, ids = (np.concatenate([x.column(i).to_numpy() for x in b]) for i in (0, 1))
-        sketch = np.frombuffer(b"".join(v for x in b for v in x.column(2).to_pylist()), np.uint64).reshape(-1, WORDS)
-        by = np.lexsort(sketch.T)  # ties go by content, however rows are numbered and in whatever order they arrive
+        entry, ids, sketch = gathered_entries(b)
+        by = np.lexsort((*sketch.T, gray_rank(sketch[:, 0]), entry))  # ties go by content, however rows are numbered and in whatever order they arrive
         entry, ids, sketch = entry[by], ids[by], sketch[by]
-        i, j = group_links(entry, gray_rank(sketch[:, 0]), sketch, RADIUS, Nearest)
-        pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1), axis=0)
-        yield batch(a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
+        found = Counted(len(ids))
+        i, j = group_links(entry, gray_rank(sketch[:, 0]), sketch, RADIUS, lambda n: found)
+        yield from proposed(ids[i], ids[j], ids[found.partners > 1])
 
     n = partitions_for(nodes.sparkSession, rows * TABLES, 200_000)
-    filed = nodes.select("id", "sketch").mapInArrow(file, "full long, id long, sketch binary").withColumn("entry", F.shiftright("full", MORE_BITS))
-    large = large_entries(nodes, bits, most)
+    filed = file(nodes.select("id", "sketch")).withColumn("entry", F.shiftright("full", MORE_BITS))
+    large = large_entries(nodes, table_bits(), most)
     if large.isEmpty():
         filed = filed.select("entry", "id", "sketch")
     else:
@@ -116,6 +181,56 @@ def candidate_pairs(nodes: DataFrame, rows: int, most: int = MAX_ENTRY) -> DataF
     return filed.repartition(n, "entry").mapInArrow(nearest, "a long, b long").distinct()
 
 
+def further_pairs(nodes: DataFrame, rows: int, partners: int) -> DataFrame:
+    """``nodes(id, sketch, component)`` to distinct ``(a, b)`` with a < b: each node with the ``partners`` nearest of other
+    components in its entry in each table; and ``(a, null)`` for a node that has partners left over."""
+
+    def nearby(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = [x for x in it if x.num_rows]
+        if not b:
+            return
+        entry, ids, sketch, component = gathered_entries(b)
+        by = np.lexsort((*sketch.T, gray_rank(sketch[:, 0]), entry))
+        starts = np.flatnonzero(np.r_[True, np.diff(entry[by]) != 0])
+        sizes = np.diff(np.r_[starts, len(by)])
+        mixed = np.minimum.reduceat(component[by], starts) != np.maximum.reduceat(component[by], starts)
+        by, sizes = by[np.repeat(mixed, sizes)], sizes[mixed]
+        entry, ids, sketch, component = entry[by], ids[by], sketch[by], component[by]
+        slices = np.cumsum(sizes * np.minimum(sizes, partners)) // HELD
+        at = 0
+        for n in [int(sizes[slices == s].sum()) for s in np.unique(slices)]:
+            own = slice(at, at + n)
+            at += n
+            found = Nearby(component[own], partners)
+            group_links(entry[own], gray_rank(sketch[own, 0]), sketch[own], RADIUS, lambda n, found=found: found)
+            row, _, partner = found.cut()
+            yield from proposed(ids[own][row], ids[own][partner], ids[own][found.partners > partners])
+
+    n = partitions_for(nodes.sparkSession, rows * TABLES, 200_000)
+    filed = file(nodes.select("id", "sketch", "component")).withColumn("entry", F.shiftright("full", MORE_BITS))
+    return filed.select("entry", "id", "sketch", "component").repartition(n, "entry").mapInArrow(nearby, "a long, b long").distinct()
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
+    """``(a, b)`` of accepted pairs whose components are the groups of ``nodes(id, sketch)``, in rounds."""
+    found = materialize(candidate_pairs(nodes, nodes.count()), "pairs")
+    pairs = done = found.where("b is not null")
+    links, partners = materialize(verified(pairs, docs, text, similarity), "links"), 1
+    while not (over := found.where("b is null").select(F.col("a").alias("id"))).isEmpty():
+        part = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+        left = nodes.select("id", "sketch").join(over, "id").join(part, "id", "left").select("id", "sketch", F.coalesce("component", "id").alias("component"))
+        left = materialize(left, "left")
+        if left.agg(F.min("component") == F.max("component")).first()[0]:
+            break
+        partners *= MORE
+        found = materialize(further_pairs(left, left.count(), partners), "pairs")
+        pairs = materialize(found.where("b is not null").join(done, ["a", "b"], "left_anti"), "new")
+        done = done.unionAll(pairs)
+        if not pairs.isEmpty():
+            links = links.unionAll(materialize(verified(pairs, docs, text, similarity), "links"))
+    return links
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
     """The pairs whose texts have at least this Jaccard similarity of distinct shingles."""
 
@@ -144,8 +259,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     made = materialize(sketches(rows, key, text), "sketches", TEXT_ROWS)
     first = F.struct(F.col("key").isNull().alias("none"), "key", "id")
     nodes = materialize(made.groupBy("words").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")).select(F.col("first.id").alias("id"), "first", "sketch", (F.length("words") > 0).alias("some")), "nodes")
-    pairs = materialize(candidate_pairs(nodes.where("some"), nodes.count()), "pairs")
-    links = verified(pairs, rows, text, similarity)
+    links = near_links(nodes.where("some"), rows, text, similarity)
     part = nodes.join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left")
     kept = part.groupBy(F.coalesce("component", "id").alias("part")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"))
     gone = materialize(made.select("id").join(kept, "id", "left_anti").withColumnRenamed("id", "_near_id"), "gone")

@@ -86,3 +86,51 @@ def test_large_entries_are_dealt_by_further_bits(spark, monkeypatch):
         kept = sorted(r.doc_id for r in neardedup.near_dedup(df).collect())
         assert kept[0] == 0 and [k for k in kept if k >= 1000] == list(range(1000, 1050))
         assert len(kept) <= 50 + 1 + 6
+
+
+def edited(t, at, mark):
+    return [f"{mark}{i}" if i in at else w for i, w in enumerate(t)]
+
+
+def with_sketches(monkeypatch, sketch):
+    """near_dedup's sketches, but those given by key as the places of their set bits."""
+
+    def sketches(docs, key, text):
+        rows = [(k, sum(1 << b for b in bits).to_bytes(8 * neardedup.WORDS, "little")) for k, bits in sketch.items()]
+        given = docs.sparkSession.createDataFrame(rows, f"{key} long, sketch binary")
+        return docs.join(given, key).selectExpr("_near_id as id", f"{key} as key", f"cast({text} as binary) as words", "sketch")
+
+    monkeypatch.setattr(neardedup, "sketches", sketches)
+
+
+def test_a_pair_is_found_beside_nearer_ones(spark, monkeypatch):
+    """Two tight clusters linked by one pair of 0.8: in every entry each member has a twin that is nearer."""
+    base = [f"w{i}" for i in range(300)]
+    other = edited(base, range(5, 65, 10), "b")
+    rows, sketch = [(1, base), (101, other)], {1: [], 101: [*range(100, 140)]}
+    for i in range(6):
+        rows += [(2 + i, edited(base, range(100 + i, 130, 10), f"a{i}")), (102 + i, edited(other, range(200 + i, 230, 10), f"b{i}"))]
+        sketch |= {2 + i: [i], 102 + i: [*range(100, 140), 200 + i]}
+    rows = [(k, " ".join(t)) for k, t in rows]
+    text = dict(rows)
+    assert [(x, y) for x in text for y in text if x < 100 < y and jaccard(text[x], text[y]) >= 0.8] == [(1, 101)]
+    with_sketches(monkeypatch, sketch)
+    assert [r.doc_id for r in neardedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [1]
+
+
+def test_nearby_keeps_the_nearest_of_other_components(monkeypatch):
+    monkeypatch.setattr(neardedup, "HELD", 1000)
+    r = np.random.default_rng(2)
+    f = r.integers(0, 2**12, (200, 1)).astype(np.uint64)
+    f = f[np.argsort(gray_rank(f[:, 0]), kind="stable")]
+    component = r.integers(0, 20, 200)
+    d = np.bitwise_count(f ^ f.T).astype(int)
+    d[component[:, None] == component] = 99
+    for most in (1, 3, 500):
+        found = neardedup.Nearby(component, most)
+        group_links(np.zeros(200, np.int64), gray_rank(f[:, 0]), f, 5, lambda n, found=found: found)
+        row, distance, partner = found.cut()
+        assert (found.partners == (d <= 5).sum(axis=1)).all()
+        assert (d[row, partner] == distance).all()
+        for i in range(200):
+            assert sorted(distance[row == i]) == sorted(x for x in d[i] if x <= 5)[:most]
