@@ -28,7 +28,8 @@ from kinfold.runtime import TEXT_ROWS, materialize, partitions_for, small
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES, BITS, RADIUS = 4, 36, 14, 64
-#: Documents of a table entry that one task compares; an entry with more is dealt by further bits of its own.
+#: Documents of a table entry that one task compares; an entry with more is dealt by further bits in the first round, and
+#: in blocks that all meet each other in the later ones.
 MAX_ENTRY, MORE_BITS = 20_000, 12
 #: How many times as many partners a document has in the next round.
 MORE = 16
@@ -154,10 +155,10 @@ def proposed(a: np.ndarray, b: np.ndarray, over: np.ndarray) -> Iterator[pa.Reco
 
 def candidate_pairs(nodes: DataFrame, rows: int, most: int = MAX_ENTRY) -> DataFrame:
     """``nodes(id, sketch)`` to distinct ``(a, b)`` with a < b: each node with the nearest of its entry in each table; and
-    ``(a, null)`` for a node that has partners left over.
+    ``(a, null)`` for a node that may have partners left over.
 
-    An entry with over ``most`` documents holds families of near copies; there a document meets those that agree on
-    ``MORE_BITS`` further bits as well.
+    An entry with over ``most`` documents holds families of near copies; there a document first meets those that agree on
+    ``MORE_BITS`` further bits as well, which unites most of a family, and counts as one with partners left over.
     """
     def nearest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = [x for x in it if x.num_rows]
@@ -168,7 +169,7 @@ def candidate_pairs(nodes: DataFrame, rows: int, most: int = MAX_ENTRY) -> DataF
         entry, ids, sketch = entry[by], ids[by], sketch[by]
         found = Counted(len(ids))
         i, j = group_links(entry, gray_rank(sketch[:, 0]), sketch, RADIUS, lambda n: found)
-        yield from proposed(ids[i], ids[j], ids[found.partners > 1])
+        yield from proposed(ids[i], ids[j], ids[(found.partners > 1) | (entry < 0)])
 
     n = partitions_for(nodes.sparkSession, rows * TABLES, 200_000)
     filed = file(nodes.select("id", "sketch")).withColumn("entry", F.shiftright("full", MORE_BITS))
@@ -181,7 +182,27 @@ def candidate_pairs(nodes: DataFrame, rows: int, most: int = MAX_ENTRY) -> DataF
     return filed.repartition(n, "entry").mapInArrow(nearest, "a long, b long").distinct()
 
 
-def further_pairs(nodes: DataFrame, rows: int, partners: int) -> DataFrame:
+def dealt(filed: DataFrame, large: DataFrame, most: int) -> DataFrame:
+    """``filed(entry, id, sketch, component)`` to ``(task, id, sketch, component)``: any two documents of an entry that lie
+    in different components share a task.
+
+    The documents of a large entry are dealt in blocks of half of ``most``, those of its largest component apart from the
+    others, and each two blocks make a task unless both are of that component.
+    """
+    half, shift = max(1, most // 2), 1 << 21
+    kinds = filed.join(small(large), "entry").groupBy("entry", "component").agg(F.count("*").alias("n"))
+    top = kinds.groupBy("entry").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    blocks = materialize(top.select("entry", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / half).alias("own"), F.ceil((F.col("n") - F.col("top.n")) / half).alias("others")), "blocks")
+    main, own, others = F.col("component") == F.col("main"), F.col("own"), F.col("others")
+    block = F.when(main, F.pmod(F.xxhash64("id"), own)).otherwise(own + F.pmod(F.xxhash64("id"), F.greatest(others, F.lit(1))))
+    visits = F.filter(F.sequence(F.lit(0).cast("long"), own + others - 1), lambda x: F.when(main, x >= own).otherwise(x != F.col("block")))
+    tasks = F.transform(visits, lambda x: F.least(x, "block") * shift + F.greatest(x, "block"))
+    met = filed.join(small(blocks), "entry", "left").withColumn("block", block)
+    met = met.withColumn("task", F.explode(F.when(F.col("main").isNull(), F.array(F.lit(0).cast("long"))).otherwise(tasks)))
+    return met.select((F.col("entry") * (shift * shift) + F.col("task")).alias("task"), "id", "sketch", "component")
+
+
+def further_pairs(nodes: DataFrame, rows: int, partners: int, most: int = MAX_ENTRY) -> DataFrame:
     """``nodes(id, sketch, component)`` to distinct ``(a, b)`` with a < b: each node with the ``partners`` nearest of other
     components in its entry in each table; and ``(a, null)`` for a node that has partners left over."""
 
@@ -207,8 +228,12 @@ def further_pairs(nodes: DataFrame, rows: int, partners: int) -> DataFrame:
             yield from proposed(ids[own][row], ids[own][partner], ids[own][found.partners > partners])
 
     n = partitions_for(nodes.sparkSession, rows * TABLES, 200_000)
-    filed = file(nodes.select("id", "sketch", "component")).withColumn("entry", F.shiftright("full", MORE_BITS))
-    return filed.select("entry", "id", "sketch", "component").repartition(n, "entry").mapInArrow(nearby, "a long, b long").distinct()
+    filed = file(nodes.select("id", "sketch", "component")).select(F.shiftright("full", MORE_BITS).alias("task"), "id", "sketch", "component")
+    most = min(most, max(2, HELD // partners))  # so that the pairs of one task can be held
+    large = large_entries(nodes, table_bits(), most)
+    if not large.isEmpty():
+        filed = dealt(filed.withColumnRenamed("task", "entry"), large, most)
+    return filed.repartition(n, "task").mapInArrow(nearby, "a long, b long").distinct()
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:

@@ -134,3 +134,30 @@ def test_nearby_keeps_the_nearest_of_other_components(monkeypatch):
         assert (d[row, partner] == distance).all()
         for i in range(200):
             assert sorted(distance[row == i]) == sorted(x for x in d[i] if x <= 5)[:most]
+
+
+def test_a_large_entry_loses_no_pair(spark, monkeypatch):
+    """A pair whose entries are all large and whose sub-entries are never the same."""
+    bits, rnd = neardedup.table_bits(), random.Random(3)
+    while True:
+        far = set(rnd.sample(range(256), 40))
+        same = [far.isdisjoint(b[: neardedup.BITS].tolist()) for b in bits]
+        if any(same) and not any(far.isdisjoint(b.tolist()) for b in bits):
+            break
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, base), (2, edited(base, range(5, 65, 10), "b"))] + [(10 + i, [f"x{i}y{j}" for j in range(100)]) for i in range(60)]
+    sketch = {1: [], 2: [*far]} | {10 + i: [b for b in range(256) if b == i] for i in range(60)}
+    with_sketches(monkeypatch, sketch)
+    f = neardedup.candidate_pairs
+    monkeypatch.setattr(neardedup, "candidate_pairs", lambda nodes, n: f(nodes, n, 20))
+    kept = sorted(r.doc_id for r in neardedup.near_dedup(spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")).collect())
+    assert kept == [1, *range(10, 70)]
+
+
+def test_blocks_of_a_large_entry_meet(spark):
+    r = np.random.default_rng(5)
+    sketch = [int.to_bytes(sum(1 << int(b) for b in r.choice(256, 6, replace=False)), 32, "little") for _ in range(120)]
+    rows = [(i, sketch[i], 0 if i < 70 else i // 2) for i in range(120)]
+    nodes = spark.createDataFrame(rows, "id long, sketch binary, component long")
+    whole, split = ({tuple(x) for x in neardedup.further_pairs(nodes, 120, 500, most).collect()} for most in (1000, 8))
+    assert whole == split and len(whole) > 1000
