@@ -7,7 +7,8 @@ entity occurs, however it is written there (coreference), and two entities never
 
 Distinctness is checked, not hoped for: the distinct entities of the whole table get surrogates from a keyed hash; those
 whose surrogate another entity has, or which is itself a real entity, draw again with the next attempt number, and again,
-until none is left. Only entities travel for that. Texts without an entity are passed on as they are; the others are cut
+until none is left. Where a form has too few surrogates (one digit, the addresses of 192.168), those that still clash after
+``SAME_FORM`` attempts get a longer one, or an address of a wider network; each ``SAME_FORM`` attempts more widen it again. Only entities travel for that. Texts without an entity are passed on as they are; the others are cut
 at their entities and put together again with the surrogates.
 
 A mention is made of parts: literal text (a title, ``password=``) that stays, and units that are replaced. A name has a
@@ -23,6 +24,8 @@ from kinfold.runtime import materialize, partitions_for
 
 KEY = "kinfold-surrogates"
 MAX_ATTEMPTS = 60
+#: Attempts after which a surrogate is lengthened by one more character.
+SAME_FORM = 6
 
 MEN = "Mr|Mister|Herrn|Herr|Monsieur|Señor|Sr|Signor|Господин|господин|г-н"
 WOMEN = "Mrs|Miss|Ms|Frau|Madame|Mademoiselle|Mme|Mlle|Señora|Señorita|Sra|Srta|Signora|Госпожа|госпожа|г-жа"
@@ -172,18 +175,21 @@ def draw(todo: DataFrame, key: str, parts: int) -> DataFrame:
     )
     tail = F.when(type_ == "email", F.regexp_extract(canon, r"(\.example\.(?:com|net|org)|\.\p{L}+)$", 1)).otherwise("")
     seed = F.concat_ws("|", F.lit(key), type_, scope, canon, attempt.cast("string"))
-    rows = todo.select("*", _stream(seed, F.length(canon) + 16).alias("stream"), head.alias("head"), tail.alias("tail")).repartition(parts, "canon")
+    wider = F.floor(attempt / SAME_FORM).cast("int")
+    rows = todo.select("*", _stream(seed, F.length(canon) + wider + 16).alias("stream"), head.alias("head"), tail.alias("tail")).repartition(parts, "canon")
     stream, head, tail = (F.col(c) for c in ("stream", "head", "tail"))
     body = F.substring(canon, F.length(head) + 1, F.length(canon) - F.length(head) - F.length(tail))
+    like = F.regexp_extract(body, r"([\p{L}\p{N}])", 1)
+    body = F.concat(F.repeat(F.when(like == "", "0").otherwise(like), wider), body)
     rows = rows.withColumn("mapped", F.concat(head, _mapped(body, stream, type_.isin("hex", "ipv6")), tail))
     mapped = F.col("mapped")
     # A number that begins with 0 or 1 after its country code is no subscriber's.
     first = F.length(head) + 1
-    phone = F.when(_char(canon, first).rlike("[2-9]"), F.concat(head, (_number(stream, F.length(canon) + 1) % 8 + 2).cast("string"), F.substring(mapped, first + 1, F.length(canon)))).otherwise(mapped)
+    phone = F.when(_char(canon, first).rlike("[2-9]"), F.concat(head, (_number(stream, F.length(mapped) + 1) % 8 + 2).cast("string"), F.substring(mapped, first + 1, F.length(mapped)))).otherwise(mapped)
     rows = rows.withColumn("stem", F.substring(mapped, F.lit(1), F.length(mapped) - 1))
     check = F.when((type_ == "card") & (_luhn(canon) == 0), F.concat("stem", ((10 - _luhn(F.concat("stem", F.lit("0")))) % 10).cast("string"))).otherwise(mapped)
     private = F.when(canon.rlike(r"^(10|127)\."), 1).when(canon.rlike(r"^192\.168\."), 2).otherwise(0)
-    octet = lambda o, i: F.when(i < private, o).otherwise((_number(stream, i) % 254 + 1).cast("string"))
+    octet = lambda o, i: F.when(i < private - wider, o).otherwise((_number(stream, i) % 254 + 1).cast("string"))
     ipv4 = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
 
     def family(script: str) -> Column:
@@ -239,6 +245,7 @@ def written(type_: Column, raw: Column, sur: Column) -> Column:
     spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(F.element_at(slots, i) == 1, _char(sur, number(i))).otherwise(_char(raw, i))), "")
     cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when((F.lower(_char(raw, i)) != _char(raw, i)), F.upper(_char(sur, i))).otherwise(_char(sur, i))), "")
     same = F.length(raw) == F.length(sur)
+    spaced = F.concat(spaced, F.substring(sur, number(F.length(raw)) + 1, F.length(sur)))  # of a lengthened surrogate
     return F.when(type_.isin("family", "given"), name).when(type_.isin("card", "ssn", "phone", "iban"), spaced).when(type_.isin("email", "ipv6") & (raw != F.lower(raw)) & same, cased).otherwise(sur)
 
 

@@ -102,3 +102,17 @@ def test_key_decides_and_empty_table(spark):
     assert a == b != c
     assert pii.op4_query(df.limit(0)).count() == 0
     assert pii.op4_query(df.withColumn("text", pii.F.lit("nothing"))).count() == 1
+
+
+def test_forms_with_too_few_surrogates_are_widened(spark):
+    rows = [f"token: {i}" for i in range(1, 10)] + [f"pwd: {i}." for i in range(8)] + [f"call +1-{i}" for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymize(df).collect()}
+    new = [got[i] for i in range(17)]
+    assert len(set(new)) == 17 and not set(new) & set(rows)
+    assert all(re.fullmatch(r"token: [0-9a-f]+", t) for t in new[:9]) and all(re.fullmatch(r"pwd: [0-9]+\.", t) for t in new[9:])
+    units = [("ipv4", "", f"192.168.{i // 250}.{i % 250}") for i in range(40_000)] + [("card", "", f"4{i:02d}") for i in range(90)] + [("phone", "", f"+1{i}") for i in range(2, 10)]
+    out = pii.assign(spark.createDataFrame(units, "type string, scope string, canon string")).collect()
+    assert len({(r.type, r.sur) for r in out}) == len(units) and not {(r.type, r.sur) for r in out} & {(t, c) for t, _, c in units}
+    wide = spark.createDataFrame([("card", "4539 1488", "453914887"), ("card", "4539 1488", "45391488"), ("ssn", "12-3", "4567")], "type string, raw string, sur string")
+    assert [r[0] for r in wide.select(pii.written(pii.F.col("type"), pii.F.col("raw"), pii.F.col("sur"))).collect()] == ["4539 14887", "4539 1488", "45-67"]
