@@ -175,10 +175,10 @@ def tree_counts(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "node", "parent", "plain", "kind", "item").agg(F.sum("pages").alias("pages"))
 
 
-def importance(counts: DataFrame, depth: int = 12) -> DataFrame:
+def importance(counts: DataFrame) -> DataFrame:
     """``(host, node, plain, m, presentation, content, importance)`` from ``tree_counts``.
 
-    The content of a node is that of all blocks below it, rolled up from child to parent ``depth`` times.
+    The content of a node is that of all blocks below it, however deep: each round doubles the levels summed.
     """
     layouts = counts.where("kind = 0").groupBy("host", "node", "parent", "plain").agg(
         F.sum("pages").alias("m"), F.count("*").alias("layouts"), F.sum(F.col("pages") * F.log(F.col("pages"))).alias("s")
@@ -188,15 +188,13 @@ def importance(counts: DataFrame, depth: int = 12) -> DataFrame:
     tree = layouts.withColumn("presentation", F.least(F.greatest(even, F.lit(0.0)), F.lit(1.0)))
     blocks = counts.where("kind = 1").groupBy("host", "node").agg(F.sum("pages").alias("n"), F.sum(F.col("pages") * F.log(F.col("pages"))).alias("logs"))
     tree = materialize(tree.join(blocks, ["host", "node"], "left").fillna(0, ["n", "logs"]), "tree")
-    below = tree.select("host", "node", "parent", "n", "logs")
-    total, level = below.select("host", "node", "n", "logs"), below
-    for _ in range(depth):
-        up = level.where("parent <> 0").groupBy("host", F.col("parent").alias("node")).agg(F.sum("n").alias("n"), F.sum("logs").alias("logs")).where("n > 0")
-        level = materialize(up.join(tree.select("host", "node", "parent"), ["host", "node"]), "level")
-        if level.isEmpty():
-            break
-        total = total.unionAll(level.select("host", "node", "n", "logs"))
-    total = total.groupBy("host", "node").agg(F.sum("n").alias("all_n"), F.sum("logs").alias("all_logs"))
+    below = tree.select("host", "node", F.col("parent").alias("up"), F.col("n").alias("all_n"), F.col("logs").alias("all_logs"))
+    while not (rising := below.where("up <> 0")).isEmpty():
+        more = rising.groupBy("host", F.col("up").alias("node")).agg(F.sum("all_n").alias("more_n"), F.sum("all_logs").alias("more_logs"))
+        on = rising.select("host", F.col("node").alias("up"), F.col("up").alias("further"))
+        met = below.join(more, ["host", "node"], "left").join(on, ["host", "up"], "left").fillna(0, ["more_n", "more_logs", "further"])
+        below = materialize(met.select("host", "node", F.col("further").alias("up"), (F.col("all_n") + F.col("more_n")).alias("all_n"), (F.col("all_logs") + F.col("more_logs")).alias("all_logs")), "level")
+    total = below.select("host", "node", "all_n", "all_logs")
     content = F.when((m > 1) & (F.col("all_n") > 0), F.greatest(F.lit(0.0), 1 - F.col("all_logs") / F.col("all_n") / F.log(m))).otherwise(1.0)
     weight = F.pow(F.lit(DECAY), F.col("layouts"))
     scored = tree.join(total, ["host", "node"]).withColumn("content", content)

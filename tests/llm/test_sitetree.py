@@ -64,3 +64,12 @@ def test_site_text_of_the_tables(spark, sf_small):
     for r in pages.collect():
         inside = r.html.split("<article>", 1)[1].split("</article>")[0]
         assert got[r.page_id] == "\n".join(blocks(inside))
+
+
+def test_text_below_many_levels_counts(spark):
+    def page(i):
+        deep = "<div class=d>" * 30 + f"<p>Article {i}</p>" + "</div>" * 30
+        return f"<body><div class=wrap>{deep}<div class=end><p>Same end</p></div></div></body>"
+
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in sitetree.op2_query(df).collect()} == {i: f"Article {i}" for i in range(20)}
