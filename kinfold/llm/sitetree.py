@@ -136,9 +136,12 @@ def main_text(html: str | None, noise: frozenset[int] = frozenset()) -> str:
     page = parse(html)
     out = beside(page)
     if noise:
-        node = paths(page)
+        node, left = paths(page), list(out)
+        holding = {a for i in articles(page, out) for a in above(page, i)}
         for i, e in enumerate(page.elements):
-            out[i] = out[i] or node[i] in noise or e.parent >= 0 and out[e.parent]
+            left[i] = left[i] or node[i] in noise and i not in holding or e.parent >= 0 and left[e.parent]
+        if not all(left[o] for o, _, _ in page.blocks):  # repetition never takes all the text of a page
+            out = left
     kept = [(o, t, n) for o, t, n in page.blocks if not out[o]]
     inside = articles(page, out)
     if inside:
@@ -146,6 +149,19 @@ def main_text(html: str | None, noise: frozenset[int] = frozenset()) -> str:
     return "\n".join(t for _, t, n in kept if n < 0.8 * len(t))
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``pages(host, html)`` with one of the pages of a host that have the same text between their tags.
+
+    Only pages that have copies are shuffled.
+    """
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    marked = pages.where("html <> ''").withColumn("digest", F.unhex(F.md5(F.regexp_replace(text, r"\s+", " "))))
+    copied = materialize(marked.groupBy("host", "digest").count().where("count > 1").select("host", "digest"), "copied")
+    single = marked.join(copied, ["host", "digest"], "left_anti")
+    one = marked.join(copied, ["host", "digest"]).groupBy("host", "digest").agg(F.min("html").alias("html"))
+    return single.select("host", "html").unionAll(one.select("host", "html"))
+
+
 def tree_counts(pages: DataFrame) -> DataFrame:
     """``(host, node, parent, plain, kind, item, pages)``: on how many pages of a host a node has a layout of children
     (kind 0), or a text block (kind 1) stands at it."""
@@ -214,7 +230,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", threshold: f
     """
     others = [c for c in pages.columns if c != html]
     hosted = pages.withColumn("_site_host", host_of(url))
-    scored = importance(materialize(tree_counts(hosted.select(F.col("_site_host").alias("host"), F.col(html).alias("html"))), "counts"))
+    seen = distinct_pages(hosted.select(F.col("_site_host").alias("host"), F.col(html).alias("html")))
+    scored = importance(materialize(tree_counts(seen), "counts"))
     low = scored.where((F.col("m") >= min_pages) & (F.col("importance") < threshold) & ~F.col("plain"))
     noise = materialize(low.groupBy(F.col("host").alias("_site_host")).agg(F.collect_set("node").alias("_site_noise")), "noise")
     joined = hosted.join(noise, "_site_host", "left")  # one small row a host; a hot host is split by adaptive execution

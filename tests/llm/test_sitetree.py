@@ -73,3 +73,13 @@ def test_text_below_many_levels_counts(spark):
 
     df = spark.createDataFrame([(i, f"http://a.example/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in sitetree.op2_query(df).collect()} == {i: f"Article {i}" for i in range(20)}
+
+
+def test_repeated_captures_are_no_template(spark):
+    page = "<body><div id=post-123><p>The only article</p><p>of this page</p></div><p>end</p></body>"
+    other = "<body><div class=x><article class=y><p>Said {}</p></article><p>more</p></div></body>"
+    rows = [(i, "http://a.example/x", page) for i in range(15)] + [(20 + i, f"http://b.example/{i}", f"<body><div class=x><p>Moved</p></div><script>{i}</script></body>") for i in range(15)]
+    rows += [(40 + i, f"http://c.example/{i}", other.format("this") + f"<p>{i}</p>") for i in range(15)]
+    got = {r.page_id: r.text for r in sitetree.op2_query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(15)} == {"The only article\nof this page\nend"}
+    assert {got[20 + i] for i in range(15)} == {"Moved"} and {got[40 + i] for i in range(15)} == {"Said this"}
