@@ -50,6 +50,8 @@ DROPPED_WORDS = frozenset(
     "comment comments commentlist commenting respond reply replies disqus discussion feedback share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager "
     "widget widgets toolbar skip copyright legal disclaimer search searchform form hidden".split()
 )
+#: Words that may stand beside them in a name.
+BESIDE_WORDS = frozenset("site top bottom left right primary secondary global box bar list links".split())
 ARTICLE_WORDS = frozenset("article articlebody articlecontent articletext postbody postcontent posttext entry entrycontent entrybody storybody storycontent".split())
 ARTICLE_PAIRS = (("article", "post", "entry", "story", "main", "page"), ("body", "content", "text"))
 #: Elements with no name of their own that carry running text: never judged by repetition.
@@ -78,26 +80,51 @@ def paths(page: Page) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
+def named(e: Element, words: frozenset[str]) -> bool:
+    """Whether a whole token of the class or id is made of ``words``, but for digits and BESIDE_WORDS."""
+    for k in ("class", "id"):
+        for token in e.attributes.get(k, "").split():
+            own = [w for w in WORD.findall(CAMEL.sub(" ", token).lower()) if not w.isdigit() and w not in BESIDE_WORDS]
+            if own and words.issuperset(own):
+                return True
+    return False
+
+
 def beside(page: Page) -> list[bool]:
-    """Which elements the markup itself sets beside the article, alone or through an ancestor."""
+    """Which elements the markup itself sets beside the article, alone or through an ancestor.
+
+    A class or id sets none beside that holds all text of article and main elements or, on a page without such, most of
+    its text; nor an article or main element that is not within another one.
+    """
+    elements = page.elements
+    bad: list[bool] = []
+    within: list[bool] = []  # below an article or main element, or one itself
     out: list[bool] = []
-    within: list[bool] = []  # below an article or main element
-    for e in page.elements:
+    for e in elements:
         up, inside = (out[e.parent], within[e.parent]) if e.parent >= 0 else (False, False)
         within.append(inside or e.tag in ("article", "main"))
-        if up:
-            out.append(True)
-            continue
         a = e.attributes
-        bad = e.tag in DROPPED or e.tag == "header" and not inside
-        if a and not bad and e.tag not in ("html", "body", "#root"):
+        own = e.tag in DROPPED or e.tag == "header" and not within[-1]
+        if a and not own and e.tag not in ("html", "body", "#root"):
             role = a.get("role", "").lower()
             style = a.get("style", "").replace(" ", "").lower()
-            bad = role in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-            if not bad:
-                words = names(e)
-                bad = not DROPPED_WORDS.isdisjoint(words) or "header" in words and not inside and e.tag not in ("article", "main")
-        out.append(bad)
+            own = role in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+        bad.append(own)
+        out.append(up or own)
+    held, marked = [0] * len(elements), [0] * len(elements)  # characters below an element, and those of them in an article
+    for o, t, _ in page.blocks:
+        if not out[o]:
+            for i in above(page, o):
+                held[i] += len(t)
+                marked[i] += len(t) * within[o]
+    for i, e in enumerate(elements):
+        up, inside = (out[e.parent], within[e.parent]) if e.parent >= 0 else (False, False)
+        out[i] = up or bad[i]
+        if out[i] or not e.attributes or e.tag in ("html", "body", "#root") or e.tag in ("article", "main") and not inside:
+            continue
+        if marked[i] == marked[0] if marked[0] else 2 * held[i] > held[0]:
+            continue
+        out[i] = named(e, DROPPED_WORDS if inside else DROPPED_WORDS | {"header"})
     return out
 
 

@@ -83,3 +83,17 @@ def test_repeated_captures_are_no_template(spark):
     got = {r.page_id: r.text for r in sitetree.op2_query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {got[i] for i in range(15)} == {"The only article\nof this page\nend"}
     assert {got[20 + i] for i in range(15)} == {"Moved"} and {got[40 + i] for i in range(15)} == {"Said this"}
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<article class='post category-legal'><p>a</p></article>", "a"),
+    ("<main class='no-sidebar'><p>a</p></main>", "a"),
+    ("<div class='content-sidebar-wrap'><article><p>a</p></article></div><div class=sidebar>b</div>", "a"),
+    ("<div class='layout has-sidebar'><p>a long text</p></div><div class=sidebar>b</div>", "a long text"),
+    ("<article class='hentry comments-open'><p>a</p><div class=comments><article class=comment>b</article></div></article>", "a"),
+    ("<div class=widget><p>a long text</p></div><p>b</p>", "a long text\nb"),
+    ("<div class=sidebar><article><p>a</p></article></div>", "a"),
+    ("<p>a long text</p><div class='site-footer'>b</div><div id=cookieNotice>c</div>", "a long text"),
+])
+def test_names_are_whole_tokens_and_spare_the_article(html, want):
+    assert sitetree.main_text(html) == want
