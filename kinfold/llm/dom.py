@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass, field
 from html import unescape
 
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 MARK = re.compile(r"<(?=[/!?a-zA-Z])")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
@@ -26,6 +26,9 @@ ENDS = {
     "thead": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}), "tbody": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
+#: Elements whose end tag closes none beyond the block that it stands in.
+INLINE = frozenset(("a", "b", "i", "em", "strong", "span", "font", "u", "small"))
+ONLY_P = frozenset({"p"})
 ENDS_P = BLOCK - {"body", "head", "html", "title", "option", "optgroup", "template", "textarea", "noscript", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "frameset", "legend"}
 SHIELDS_P = frozenset({"article", "aside", "blockquote", "body", "button", "dd", "div", "figure", "footer", "form", "header", "li", "main", "nav", "section", "table", "td", "th"})
 
@@ -52,9 +55,15 @@ def clean(text: str) -> str:
 
 def parse(html: str) -> Page:
     """Read a page. Unclosed elements end where HTML lets them end, stray end tags are skipped, a tag that the page
-    breaks off in is dropped."""
+    breaks off in is dropped.
+
+    The depths at which elements of a tag, and block elements, are open are kept, so that no tag makes it walk through all
+    open elements: time is in proportion to the page, however deep or broken it is.
+    """
     elements = [Element("#root", {}, -1)]
     open_, blocks, parts = [0], [], []
+    depths: dict[str, list[int]] = {}  # of the open elements of a tag
+    block_depths = [0]
     owner, linked, links = 0, 0, 0
 
     def flush() -> None:
@@ -71,28 +80,42 @@ def parse(html: str) -> Page:
             if not parts:
                 if raw.isspace():
                     return
-                owner = next(i for i in reversed(open_) if i == 0 or elements[i].tag in BLOCK)
+                owner = open_[block_depths[-1]]
             parts.append(raw)
             if links:
                 linked += len(raw.strip())
 
+    def enter(i: int, tag: str) -> None:
+        nonlocal links
+        if tag in BLOCK:
+            block_depths.append(len(open_))
+        depths.setdefault(tag, []).append(len(open_))
+        open_.append(i)
+        links += tag == "a"
+
     def leave(depth: int) -> None:
         """Close all open elements from this depth on."""
         nonlocal links
-        if any(elements[i].tag in BLOCK for i in open_[depth:]):
+        if block_depths[-1] >= depth:
             flush()
-        links -= sum(elements[i].tag == "a" for i in open_[depth:])
+            while block_depths[-1] >= depth:
+                block_depths.pop()
+        for i in open_[depth:]:
+            tag = elements[i].tag
+            depths[tag].pop()
+            links -= tag == "a"
         del open_[depth:]
 
+    def deepest(tags) -> int:
+        return max((d[-1] for t in tags if (d := depths.get(t))), default=0)
+
     def end_if_open(tags, shields) -> None:
-        for d in range(len(open_) - 1, 0, -1):
-            t = elements[open_[d]].tag
-            if t in tags:
-                leave(d)
-                return end_if_open(tags, shields) if len(tags) > 1 else None
-            if t in shields:
-                return None
-        return None
+        while d := deepest(tags):
+            if d <= deepest(shields - tags):
+                return
+            leave(d)
+            if len(tags) == 1:
+                return
 
     at, size = 0, len(html)
     while at < size:
@@ -122,17 +145,13 @@ def parse(html: str) -> Page:
         if closing:
             if tag == "br":
                 add(" ")
-            for d in range(len(open_) - 1, 0, -1):
-                if elements[open_[d]].tag == tag:
-                    leave(d)
-                    break
-                if tag in ("a", "b", "i", "em", "strong", "span", "font", "u", "small") and elements[open_[d]].tag in BLOCK:
-                    break
+            if (d := depths.get(tag)) and (tag not in INLINE or d[-1] > block_depths[-1]):
+                leave(d[-1])
             continue
         if tag in ENDS:
             end_if_open(*ENDS[tag])
-        if tag in ENDS_P:
-            end_if_open({"p"}, SHIELDS_P)
+        if tag in ENDS_P and depths.get("p"):
+            end_if_open(ONLY_P, SHIELDS_P)
         if tag in BLOCK:
             flush()
         if tag == "br":
@@ -147,15 +166,14 @@ def parse(html: str) -> Page:
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(html, at)
             if tag in ("textarea", "title"):
-                open_.append(me)
+                enter(me, tag)
                 add(html[at : end.start() if end else size])
                 leave(len(open_) - 1)
             at = html.find(">", end.start()) + 1 if end and html.find(">", end.start()) >= 0 else size
             continue
         if rest.endswith("/") and tag in ("svg", "path", "circle", "rect", "use", "g", "line", "polygon"):
             continue
-        open_.append(me)
-        links += tag == "a"
+        enter(me, tag)
     leave(1)
     flush()
     return Page(elements, blocks)
