@@ -7,12 +7,19 @@ entity occurs, however it is written there (coreference), and two entities never
 
 Distinctness is checked, not hoped for: the distinct entities of the whole table get surrogates from a keyed hash; those
 whose surrogate another entity has, or which is itself a real entity, draw again with the next attempt number, and again,
-until none is left. Where a form has too few surrogates (one digit, the addresses of 192.168), those that still clash after
-``SAME_FORM`` attempts get a longer one, or an address of a wider network; each ``SAME_FORM`` attempts more widen it again. Only entities travel for that. Texts without an entity are passed on as they are; the others are cut
-at their entities and put together again with the surrogates.
+until none is left. The entities of each form are counted first: where a form has fewer than ``ROOM`` surrogates for each
+of them (one digit, the addresses of 192.168 when all occur), they get longer ones, an address of a wider network (of
+five numbers at last), or a name of more syllables, and so do those that clash ``SAME_FORM`` times. So at most half of
+what is left clashes in a round, however full a form is, and every table is served. Only entities travel for that. Texts
+without an entity are passed on as they are; the others are cut at their entities and put together again with the
+surrogates.
 
 A mention is made of parts: literal text (a title, ``password=``) that stays, and units that are replaced. A name has a
-family unit and given units; a given name is drawn for its gender, distinct among those of its family name.
+family unit and given units; a given name is drawn for its gender, distinct among those of its family name, an initial
+stays an initial. A family name that a title introduces is replaced wherever its document repeats it as a word of its own.
+
+Patterns repeat groups a bounded number of times (Java recurses into each repetition of a group) and characters
+possessively, and work on a long entity is in proportion to its length.
 """
 
 from __future__ import annotations
@@ -23,19 +30,21 @@ from pyspark.sql import functions as F
 from kinfold.runtime import materialize, partitions_for
 
 KEY = "kinfold-surrogates"
-MAX_ATTEMPTS = 60
-#: Attempts after which a surrogate is lengthened by one more character.
+#: Surrogates that a form must have for each of its entities; with fewer they are lengthened from the start.
+ROOM = 4
+#: Attempts after which a surrogate is lengthened once more.
 SAME_FORM = 6
 
 MEN = "Mr|Mister|Herrn|Herr|Monsieur|Señor|Sr|Signor|Господин|господин|г-н"
 WOMEN = "Mrs|Miss|Ms|Frau|Madame|Mademoiselle|Mme|Mlle|Señora|Señorita|Sra|Srta|Signora|Госпожа|госпожа|г-жа"
 NAME_WORD = r"\p{Lu}[\p{L}\p{M}'’\-]*+"
+INITIAL = r"\p{Lu}\."
 
 #: Kinds of entities and how they are recognised, the first that matches a place wins. Java's syntax, no groups.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]{1,63}+(?:\.[\p{L}\p{N}\-]{1,63}+){0,125}\.\p{L}{2,63}+",
     "awskey": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key)\s{0,3}[:=]\s{0,3}[\"']?[^\s\"',;]*[0-9][^\s\"',;]*[\"']?",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key)\s{0,3}[:=]\s{0,3}[\"']?(?=[^\s\"',;]{0,255}[0-9])[^\s\"',;]++[\"']?",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -43,7 +52,7 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z+])(?:[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9A-Za-z])",
     "hex": r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}\p{{N}}\-])(?:{WOMEN}|{MEN})\.?[ \t]{{1,2}}{NAME_WORD}(?:[ \t]{{1,2}}{NAME_WORD}){{0,2}}",
+    "name": rf"(?<![\p{{L}}\p{{N}}\-])(?:{WOMEN}|{MEN})\.?[ \t]{{1,2}}(?:(?:{INITIAL}|{NAME_WORD})[ \t]{{1,2}}){{0,2}}{NAME_WORD}",
 }
 ANY = "|".join(PATTERNS.values())
 #: What a text must hold to be looked at closely: a digit or an at sign, or what some title contains.
@@ -79,8 +88,9 @@ def _char(text: Column, i: Column) -> Column:
     return F.substring(text, i, F.lit(1))
 
 
-def _letters(c: Column) -> Column:
-    return c.rlike(r"^\p{L}+$")
+def _chars(text: Column) -> Column:
+    """The characters of a text, as an array: the i-th character of a long text is not to be counted off each time."""
+    return F.split(text, "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -106,7 +116,10 @@ def _part(type_: Column | str | None, scope: Column | str, canon: Column | None,
 
 
 def parts_of(mention: Column, kind: Column) -> Column:
-    """The parts of a mention, in order: (type, scope, canon, raw); a null type stays as it is."""
+    """The parts of a mention, in order: (type, scope, canon, raw); a null type stays as it is.
+
+    Digits without separators are a card only if their check digit is right; other such numbers stay.
+    """
     digits = F.regexp_replace(mention, "[^0-9]", "")
     bare = F.regexp_replace(mention, "[^0-9A-Za-z]", "")
     label = F.regexp_extract(mention, r"^([A-Za-z_\-]+\s*[:=]\s*[\"']?)", 1)
@@ -125,7 +138,8 @@ def parts_of(mention: Column, kind: Column) -> Column:
     secret = F.array(_part(None, "", None, label), _part(F.when(value.rlike("^[0-9a-f]+$"), "hex").otherwise("value"), "", value, value), _part(None, "", None, quote))
     one = lambda type_, canon: F.array(_part(type_, "", canon, mention))
     return (
-        F.when(kind == "name", name)
+        F.when((kind == "card") & (digits == mention) & (_luhn(digits) != 0), F.array(_part(None, "", None, mention)))
+        .when(kind == "name", name)
         .when(kind == "secret", secret)
         .when(kind.isin("card", "ssn", "phone"), one(kind, F.concat(F.when(F.startswith(mention, F.lit("+")), "+").otherwise(""), digits)))
         .when(kind == "iban", one(kind, bare))
@@ -134,14 +148,15 @@ def parts_of(mention: Column, kind: Column) -> Column:
     )
 
 
-def _stream(key: Column, chars: Column) -> Column:
-    """A column function that gives the i-th keyed number (0..65535, from 0) for ``chars`` characters."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(chars / 16).cast("int")), lambda b: F.sha2(F.concat(key, F.lit("|"), b.cast("string")), 256))
-    return F.array_join(blocks, "")
+def _stream(seed: Column, chars: Column) -> Column:
+    """Keyed blocks that ``_number`` reads numbers for ``chars`` characters from."""
+    return F.transform(F.sequence(F.lit(0), F.floor(chars / 16).cast("int")), lambda b: F.sha2(F.concat(seed, F.lit("|"), b.cast("string")), 256))
 
 
 def _number(stream: Column, i: Column) -> Column:
-    return F.conv(F.substring(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    """The i-th keyed number (0..65535, from 0)."""
+    block = F.element_at(stream, (F.floor(i / 16) + 1).cast("int"))
+    return F.conv(F.substring(block, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
 def _pick(words: list[str], n: Column) -> Column:
@@ -151,63 +166,99 @@ def _pick(words: list[str], n: Column) -> Column:
 def _mapped(body: Column, stream: Column, hexadecimal: Column) -> Column:
     """Each letter and digit of ``body`` replaced by a keyed one of its alphabet; the rest stays."""
 
-    def one(i: Column) -> Column:
-        c, n = _char(body, i), _number(stream, i - 1)
+    def one(c: Column, i: Column) -> Column:
+        n = _number(stream, i)
         out = F.when(hexadecimal & c.rlike("^[0-9a-f]$"), _char(F.lit("0123456789abcdef"), n % 16 + 1))
         for pattern, letters in ALPHABETS.items():
             out = out.when(F.lower(c).rlike(f"^{pattern}$"), _char(F.lit(letters), n % len(letters) + 1))
         out = out.otherwise(c)
         return F.when((F.lower(c) != c) & (F.upper(c) == c), F.upper(out)).otherwise(out)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), one), "")
+    return F.array_join(F.transform(_chars(body), one), "")
+
+
+def _head(type_: Column, canon: Column) -> Column:
+    """What a surrogate keeps of the beginning."""
+    return (
+        F.when(type_ == "awskey", F.substring(canon, 1, 4)).when(type_ == "iban", F.substring(canon, 1, 2)).when(type_ == "card", F.substring(canon, 1, 1))
+        .when(type_ == "phone", F.regexp_extract(canon, r"^(\+1|\+7|\+[0-9]{2}|)", 1)).otherwise("")
+    )
+
+
+def _tail(type_: Column, canon: Column) -> Column:
+    """What a surrogate keeps of the end."""
+    return F.when(type_ == "email", F.regexp_extract(canon, r"(\.example\.(?:com|net|org)|\.\p{L}{1,63})$", 1)).otherwise("")
+
+
+def _private(canon: Column) -> Column:
+    """Leading numbers of an address that name a private network."""
+    return F.when(canon.rlike(r"^(10|127)\."), 1).when(canon.rlike(r"^192\.168\."), 2).otherwise(0)
+
+
+def _lettered(type_: Column, canon: Column) -> Column:
+    """Whether a unit's surrogate is made character by character: all but addresses and names of known scripts."""
+    return ~type_.isin("ipv4", "family", "given") | type_.isin("family", "given") & (~canon.rlike(r"^[\p{IsLatin}\p{IsCyrillic}]") | canon.rlike(r"^\p{L}\."))
+
+
+def widened(entities: DataFrame) -> DataFrame:
+    """``entities`` with ``base``: by how much their surrogates are lengthened, so that each form has room for all of its
+    entities. A form is what surrogates of one kind share: type, scope, length, the kinds of characters, what is kept."""
+    type_, canon = F.col("type"), F.col("canon")
+    head, tail = _head(type_, canon), _tail(type_, canon)
+    body = F.substring(canon, F.length(head) + 1, F.length(canon) - F.length(head) - F.length(tail))
+    hexadecimal = type_.isin("hex", "ipv6")
+    kinds = F.when(hexadecimal, F.regexp_replace(body, "[0-9a-f]", "9")).otherwise(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[0-9]", "9"), r"\p{Lu}", "A"), r"[\p{L}&&[^A]]", "a"))
+    free = F.length(F.regexp_replace(body, r"[^\p{L}\p{N}]", "")) - (type_ == "card").cast("int")
+    private, cyrillic = _private(canon), canon.rlike(r"^\p{IsCyrillic}")
+    lettered = _lettered(type_, canon)
+    # Powers of ten: how many surrogates the shortest form has, and what each widening multiplies them by.
+    room = F.when(lettered, free * F.when(hexadecimal, 1.2).otherwise(1.0)).when(type_ == "ipv4", (4 - private) * 2.4).when(type_ == "family", F.when(cyrillic, 3.6).otherwise(4.1)).otherwise(1.2)
+    gain = F.when(lettered, 1.0).when(type_ == "ipv4", 2.4).when(type_ == "family", 1.5).otherwise(1.2)
+    form = F.when(lettered, F.concat_ws("|", head, kinds, tail)).when(type_ == "ipv4", F.call_function("substring_index", canon, F.lit("."), private)).otherwise(cyrillic.cast("string"))
+    rows = entities.select("*", F.xxhash64("type", "scope", form).alias("form"), room.alias("room"), gain.alias("gain"))
+    counts = rows.groupBy("form").agg(F.count("*").alias("n"))
+    base = F.greatest(F.lit(0), F.ceil((F.log10(F.col("n") * ROOM) - F.col("room")) / F.col("gain"))).cast("int")
+    return rows.join(counts, "form").select(*entities.columns, base.alias("base"))
 
 
 def draw(todo: DataFrame, key: str, parts: int) -> DataFrame:
-    """``todo`` (type, scope, canon, attempt) with ``sur``, the surrogate in canonical form.
+    """``todo`` (type, scope, canon, base, attempt) with ``sur``, the surrogate in canonical form.
 
     Keyed bytes and the pieces of the canonical form are columns of their own before the exchange: the expressions
     behind it refer to them in many places and per character, and must not compute them there.
     """
     type_, canon, scope, attempt = (F.col(c) for c in ("type", "canon", "scope", "attempt"))
-    head = (
-        F.when(type_ == "awskey", F.substring(canon, 1, 4)).when(type_ == "iban", F.substring(canon, 1, 2)).when(type_ == "card", F.substring(canon, 1, 1))
-        .when(type_ == "phone", F.regexp_extract(canon, r"^(\+1|\+7|\+[0-9]{2}|)", 1)).otherwise("")
-    )
-    tail = F.when(type_ == "email", F.regexp_extract(canon, r"(\.example\.(?:com|net|org)|\.\p{L}+)$", 1)).otherwise("")
-    seed = F.concat_ws("|", F.lit(key), type_, scope, canon, attempt.cast("string"))
-    wider = F.floor(attempt / SAME_FORM).cast("int")
-    rows = todo.select("*", _stream(seed, F.length(canon) + wider + 16).alias("stream"), head.alias("head"), tail.alias("tail")).repartition(parts, "canon")
-    stream, head, tail = (F.col(c) for c in ("stream", "head", "tail"))
+    seed = F.sha2(F.concat_ws("|", F.lit(key), type_, scope, canon, attempt.cast("string")), 256)
+    wider = F.col("base") + F.floor(attempt / SAME_FORM).cast("int")
+    rows = todo.select("*", wider.alias("wider"), seed.alias("seed"), _head(type_, canon).alias("head"), _tail(type_, canon).alias("tail"))
+    rows = rows.withColumn("stream", _stream(F.col("seed"), F.length(canon) + 4 * F.col("wider") + 16)).repartition(parts, "canon")
+    stream, head, tail, wider = (F.col(c) for c in ("stream", "head", "tail", "wider"))
     body = F.substring(canon, F.length(head) + 1, F.length(canon) - F.length(head) - F.length(tail))
     like = F.regexp_extract(body, r"([\p{L}\p{N}])", 1)
     body = F.concat(F.repeat(F.when(like == "", "0").otherwise(like), wider), body)
-    rows = rows.withColumn("mapped", F.concat(head, _mapped(body, stream, type_.isin("hex", "ipv6")), tail))
+    rows = rows.withColumn("mapped", F.when(_lettered(type_, canon), F.concat(head, _mapped(body, stream, type_.isin("hex", "ipv6")), tail)))
     mapped = F.col("mapped")
     # A number that begins with 0 or 1 after its country code is no subscriber's.
     first = F.length(head) + 1
     phone = F.when(_char(canon, first).rlike("[2-9]"), F.concat(head, (_number(stream, F.length(mapped) + 1) % 8 + 2).cast("string"), F.substring(mapped, first + 1, F.length(mapped)))).otherwise(mapped)
     rows = rows.withColumn("stem", F.substring(mapped, F.lit(1), F.length(mapped) - 1))
     check = F.when((type_ == "card") & (_luhn(canon) == 0), F.concat("stem", ((10 - _luhn(F.concat("stem", F.lit("0")))) % 10).cast("string"))).otherwise(mapped)
-    private = F.when(canon.rlike(r"^(10|127)\."), 1).when(canon.rlike(r"^192\.168\."), 2).otherwise(0)
-    octet = lambda o, i: F.when(i < private - wider, o).otherwise((_number(stream, i) % 254 + 1).cast("string"))
-    ipv4 = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
+    private = _private(canon)
+    octet = lambda i: F.when(i < private - wider, F.element_at(F.split(canon, r"\."), F.least(i, F.lit(3)) + 1)).otherwise((_number(stream, i) % 254 + 1).cast("string"))
+    ipv4 = F.array_join(F.transform(F.sequence(F.lit(0), 3 + F.greatest(F.lit(0), wider - private)), octet), ".")
 
     def family(script: str) -> Column:
-        n = F.least(F.lit(2) + F.floor(attempt / 3), F.lit(9)).cast("int")
-        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(SYLLABLES[script], _number(stream, i))), ""), _pick(FAMILY_END[script], _number(stream, F.lit(0))))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), 2 + wider), lambda i: _pick(SYLLABLES[script], _number(stream, i))), ""), _pick(FAMILY_END[script], _number(stream, F.lit(0))))
 
     def given(script: str, gender: str) -> Column:
-        more = F.least(F.floor(attempt / 6), F.lit(5)).cast("int")
-        return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), more), lambda i: _pick(GIVEN[script, gender], _number(stream, i))), " "))
+        return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), wider), lambda i: _pick(GIVEN[script, gender], _number(stream, i))), " "))
 
     cyrillic, woman = canon.rlike(r"^\p{IsCyrillic}"), F.startswith(scope, F.lit("f|"))
-    other = ~canon.rlike(r"^[\p{IsLatin}\p{IsCyrillic}]")
     sur = (
         F.when(type_ == "phone", phone).when(type_ == "card", check).when(type_ == "ipv4", ipv4)
-        .when(type_.isin("family", "given") & other, mapped)
+        .when(mapped.isNotNull(), mapped)
         .when(type_ == "family", F.when(cyrillic, family("cyrillic")).otherwise(family("latin")))
-        .when(type_ == "given", F.when(cyrillic & woman, given("cyrillic", "f")).when(cyrillic, given("cyrillic", "m")).when(woman, given("latin", "f")).otherwise(given("latin", "m")))
-        .otherwise(mapped)
+        .otherwise(F.when(cyrillic & woman, given("cyrillic", "f")).when(cyrillic, given("cyrillic", "m")).when(woman, given("latin", "f")).otherwise(given("latin", "m")))
     )
     return rows.select(*todo.columns, sur.alias("sur"))
 
@@ -218,22 +269,20 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     unit = ["type", "scope", "canon"]
     entities = materialize(entities.select(*unit), "entities")
     real = entities.select("type", "scope", F.col("canon").alias("sur"))
-    todo, done = entities.withColumn("attempt", F.lit(0)), None
+    todo, done = materialize(widened(entities).withColumn("attempt", F.lit(0)), "todo"), None
     left = todo.count()
-    for _ in range(MAX_ATTEMPTS):
+    while left or done is None:
         drawn = draw(todo, key, max(1, min(partitions_for(entities.sparkSession, left, 20_000), -(-left // 500)))).join(real.withColumn("taken", F.lit(True)), ["type", "scope", "sur"], "left")
         first = F.row_number().over(Window.partitionBy("type", "scope", "sur").orderBy("canon")) == 1
         drawn = drawn.withColumn("good", first & F.col("taken").isNull())
         if done is not None:
             drawn = drawn.join(done.select("type", "scope", "sur", F.lit(True).alias("used")), ["type", "scope", "sur"], "left").withColumn("good", F.col("good") & F.col("used").isNull())
-        drawn = materialize(drawn.select(*unit, "sur", "attempt", "good"), "drawn")
+        drawn = materialize(drawn.select(*unit, "sur", "base", "attempt", "good"), "drawn")
         good = drawn.where("good").select(*unit, "sur")
         done = good if done is None else done.unionAll(good)
-        todo = drawn.where("not good").select(*unit, (F.col("attempt") + 1).alias("attempt"))
+        todo = drawn.where("not good").select(*unit, "base", (F.col("attempt") + 1).alias("attempt"))
         left = todo.count()
-        if not left:
-            return done
-    raise RuntimeError(f"no distinct surrogates after {MAX_ATTEMPTS} attempts")
+    return done
 
 
 def written(type_: Column, raw: Column, sur: Column) -> Column:
@@ -243,18 +292,20 @@ def written(type_: Column, raw: Column, sur: Column) -> Column:
     slots = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(_char(raw, i).rlike("[+0-9A-Za-z]"), 1).otherwise(0))
     number = lambda i: F.aggregate(F.slice(slots, F.lit(1), i), F.lit(0), lambda a, x: a + x)
     spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(F.element_at(slots, i) == 1, _char(sur, number(i))).otherwise(_char(raw, i))), "")
-    cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when((F.lower(_char(raw, i)) != _char(raw, i)), F.upper(_char(sur, i))).otherwise(_char(sur, i))), "")
+    cased = F.array_join(F.zip_with(_chars(raw), _chars(sur), lambda r, s: F.when(F.lower(r) != r, F.upper(s)).otherwise(s)), "")
     same = F.length(raw) == F.length(sur)
     spaced = F.concat(spaced, F.substring(sur, number(F.length(raw)) + 1, F.length(sur)))  # of a lengthened surrogate
     return F.when(type_.isin("family", "given"), name).when(type_.isin("card", "ssn", "phone", "iban"), spaced).when(type_.isin("email", "ipv6") & (raw != F.lower(raw)) & same, cased).otherwise(sur)
 
 
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, count: str = "n_entities") -> DataFrame:
-    """``docs`` with every entity in ``text`` replaced, and a column ``count``, the mentions replaced.
+    """``docs`` with every entity in ``text`` replaced, and a column ``count``, the mentions replaced (family names that
+    are repeated without a title not counted); a column of that name is replaced.
 
     Null texts stay null and have no entity; all rows come back, repeated ones as often as given. Columns may have any
-    names but that of ``count`` and those starting with ``_pii_``.
+    names but those starting with ``_pii_``.
     """
+    docs = docs.drop(count)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     body = F.col(f"`{text}`")
     hint = body.rlike(HINT)
@@ -267,14 +318,17 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, count: str
     found = materialize(found.where("raw <> ''"), "mentions")
     units = found.where("type is not null")
     sur = assign(units.groupBy("type", "scope", "canon").count(), key)
-    named = units.join(sur, ["type", "scope", "canon"], "left").select("_pii_id", "at", "part", written(F.col("type"), F.col("raw"), F.col("sur")).alias("new"))
-    new = named.unionAll(found.where("type is null").select("_pii_id", "at", "part", F.col("raw").alias("new")))
-    lists = new.groupBy("_pii_id").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new"))).alias("_pii_new"))
-    pieces = F.split(body, ANY, -1)
-    mention = lambda i: F.array_join(F.transform(F.filter("_pii_new", lambda x: x["at"] == i), lambda x: x["new"]), "")
-    rebuilt = F.array_join(F.transform("_pii_pieces", lambda p, i: F.concat(p, mention(i))), "")
-    joined = hits.withColumn("_pii_pieces", pieces).join(lists, "_pii_id")
-    changed = joined.select(*[rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], (F.size("_pii_pieces") - 1).alias(count))
+    named = units.join(sur, ["type", "scope", "canon"], "left").select("_pii_id", "at", "part", "type", "raw", written(F.col("type"), F.col("raw"), F.col("sur")).alias("new"))
+    new = named.unionAll(found.where("type is null").select("_pii_id", "at", "part", "type", "raw", F.col("raw").alias("new")))
+    mentions = new.groupBy("_pii_id", "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), "").alias("new"), F.max(F.when(F.col("type") == "family", F.struct("raw", "new"))).alias("family"), F.max(F.col("type").isNotNull().cast("int")).alias("real"))
+    family = F.when(F.length("family.raw") > 2, F.col("family"))
+    lists = mentions.groupBy("_pii_id").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_pii_new"), F.map_from_entries(F.collect_set(family)).alias("_pii_families"), F.sum("real").cast("int").alias("_pii_count"))
+    word = F.lit(r"[\p{L}\p{M}'’\-]++|[^\p{L}\p{M}'’\-]++")
+    renamed = lambda p: F.when(F.size("_pii_families") == 0, p).otherwise(F.array_join(F.transform(F.regexp_extract_all(p, word, F.lit(0)), lambda w: F.coalesce(F.element_at("_pii_families", w), w)), ""))
+    # A text has one mention between each two pieces, and they come in the order of ``at``.
+    rebuilt = F.array_join(F.zip_with("_pii_pieces", "_pii_new", lambda p, m: F.concat(renamed(p), F.coalesce(m["new"], F.lit("")))), "")
+    joined = hits.withColumn("_pii_pieces", F.split(body, ANY, -1)).join(lists, "_pii_id")
+    changed = joined.select(*[rebuilt.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col("_pii_count").alias(count))
     return docs.where(~marked).select(*columns, F.lit(0).alias(count)).unionAll(changed)
 
 
