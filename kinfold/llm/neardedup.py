@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import batch, texts
+from kinfold.llm.common import batch, release, texts
 from kinfold.llm.simhash import Nearest, fingerprint_words, gray_rank, group_links, shingle_hashes
 from kinfold.operators.components import connected_components
 from kinfold.runtime import TEXT_ROWS, materialize, partitions_for, small
@@ -34,7 +34,7 @@ MAX_ENTRY, MORE_BITS = 20_000, 12
 #: How many times as many partners a document has in the next round.
 MORE = 16
 #: Pairs that a task of the later rounds holds at a time, about.
-HELD = 4_000_000
+HELD = 1_500_000
 
 
 def table_bits() -> np.ndarray:
@@ -77,6 +77,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             f = fingerprint_words(t, SHINGLE, WORDS)
             words = [xxhash.xxh3_128_digest(w) if (w := b" ".join(x.lower().split())) else b"" for x in t]
             yield batch(id=b.column(0), key=b.column(1), words=pa.array(words, pa.binary()), sketch=pa.array([r.tobytes() for r in f], pa.binary()))
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select("_near_id", key, text).mapInArrow(run, f"id long, key {kind}, words binary, sketch binary")
@@ -170,6 +171,8 @@ def candidate_pairs(nodes: DataFrame, rows: int, most: int = MAX_ENTRY) -> DataF
         found = Counted(len(ids))
         i, j = group_links(entry, gray_rank(sketch[:, 0]), sketch, RADIUS, lambda n: found)
         yield from proposed(ids[i], ids[j], ids[(found.partners > 1) | (entry < 0)])
+        del b, entry, ids, sketch, found, by, i, j
+        release()
 
     n = partitions_for(nodes.sparkSession, rows * TABLES, 200_000)
     filed = file(nodes.select("id", "sketch")).withColumn("entry", F.shiftright("full", MORE_BITS))
@@ -226,6 +229,8 @@ def further_pairs(nodes: DataFrame, rows: int, partners: int, most: int = MAX_EN
             group_links(entry[own], gray_rank(sketch[own, 0]), sketch[own], RADIUS, lambda n, found=found: found)
             row, _, partner = found.cut()
             yield from proposed(ids[own][row], ids[own][partner], ids[own][found.partners > partners])
+        del b, entry, ids, sketch, component, by
+        release()
 
     n = partitions_for(nodes.sparkSession, rows * TABLES, 200_000)
     filed = file(nodes.select("id", "sketch", "component")).select(F.shiftright("full", MORE_BITS).alias("task"), "id", "sketch", "component")
@@ -263,6 +268,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) ->
         for b in it:
             sets = [np.unique(np.array(shingle_hashes(t, SHINGLE), np.uint64)).view(np.int64) for t in texts(b.column(1))]
             yield batch(id=b.column(0), shingles=pa.array(sets, pa.list_(pa.int64())))
+        release()
 
     ids = materialize(pairs.select(F.col("a").alias("_near_id")).unionAll(pairs.select(F.col("b").alias("_near_id"))).distinct(), "paired")
     sets = materialize(docs.select("_near_id", text).join(small(ids), "_near_id").mapInArrow(shingles, "id long, shingles array<long>"), "shingles", TEXT_ROWS)

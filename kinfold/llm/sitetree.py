@@ -32,7 +32,7 @@ pages are the uppermost removed nodes of their host.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +43,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from kinfold.llm.common import batch
 from kinfold.llm.dom import BLOCK, Element, Page, parse
-from kinfold.runtime import materialize
+from kinfold.runtime import materialize, spread
 
 DECAY = 0.9
 MIN_PAGES = 10
@@ -236,29 +236,29 @@ def main_text(html: str | None, noise: frozenset[int] = frozenset(), strict: fro
     return "\n".join(t for o, t in kept if not links[o])
 
 
-def distinct_pages(pages: DataFrame) -> DataFrame:
-    """``pages(host, html)`` with one of the pages of a host that have the same text between their tags.
+def weighted_pages(pages: DataFrame) -> DataFrame:
+    """``pages(host, html)`` with ``weight``: pages of a host with the same text between their tags count as one together.
 
-    Only pages that have copies are shuffled.
+    Only digests are shuffled, and of these only what has copies comes back.
     """
-    parts = F.split("html", r"(?i)(?=</?(?:script|style)[\s/>])")  # not one pattern from tag to end tag: no text is searched twice
-    shown = F.array_join(F.filter(parts, lambda p: ~p.rlike(r"^(?i)<(?:script|style)")), " ")
-    text = F.regexp_replace(shown, "<[^<>]*+>", " ")
-    marked = pages.where("html <> ''").withColumn("digest", F.unhex(F.md5(F.regexp_replace(text, r"\s++", " "))))
-    copied = materialize(marked.groupBy("host", "digest").count().where("count > 1").select("host", "digest"), "copied")
-    single = marked.join(copied, ["host", "digest"], "left_anti")
-    one = marked.join(copied, ["host", "digest"]).groupBy("host", "digest").agg(F.min("html").alias("html"))
-    return single.select("host", "html").unionAll(one.select("host", "html"))
+    hidden = r"<(?:script|style)\b[^<]*+(?:<(?!/?(?:script|style)[\s/>])[^<]*+)*+"  # up to the next such tag: no text is searched twice
+    text = F.regexp_replace("html", rf"(?i){hidden}|<[^<>]*+>", " ")
+    marked = pages.where("html <> ''").withColumn("digest", F.unhex(F.md5(F.regexp_replace(text, r"\s+", " "))))
+    copied = marked.groupBy("host", "digest").agg(F.count("*").alias("copies")).where("copies > 1")
+    return marked.join(materialize(copied, "copied"), ["host", "digest"], "left").select("host", "html", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("weight"))
 
 
 def tree_counts(pages: DataFrame) -> DataFrame:
     """``(host, node, parent, running, kind, item, pages, chars)``: on how many pages of a host a node that holds text is
-    (kind 0), a text block of so many characters stands at it (kind 1), or it has a layout of children (kind 2)."""
+    (kind 0), a text block of so many characters stands at it (kind 1), or it has a layout of children (kind 2).
+
+    ``pages`` is (host, html) and may have a ``weight``, what a page counts for.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            seen: Counter = Counter()
-            for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            seen: defaultdict = defaultdict(float)
+            for host, html, weight in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if not html:
                     continue
                 page = parse(html)
@@ -282,16 +282,18 @@ def tree_counts(pages: DataFrame) -> DataFrame:
                         own.add((host, node[i], 0, False, 2, xxhash.xxh64_intdigest("\0".join(below)) >> 1 if below else 0, 0))
                 for o, text, _ in page.blocks:
                     own.add((host, node[o], 0, False, 1, xxhash.xxh64_intdigest(text) >> 1, len(text)))
-                seen.update(own)
+                for key in own:
+                    seen[key] += weight
             if seen:
                 host, node, up, running, kind, item, chars = zip(*seen, strict=True)
                 yield batch(
                     host=pa.array(host, pa.string()), node=pa.array(node, pa.int64()), parent=pa.array(up, pa.int64()), running=pa.array(running), kind=pa.array(kind, pa.int32()),
-                    item=pa.array(item, pa.int64()), chars=pa.array(chars, pa.int64()), pages=pa.array(seen.values(), pa.int64()),
+                    item=pa.array(item, pa.int64()), chars=pa.array(chars, pa.int64()), pages=pa.array(seen.values(), pa.float64()),
                 )
 
-    found = pages.select("host", "html").mapInArrow(run, "host string, node long, parent long, running boolean, kind int, item long, chars long, pages long")
-    return found.groupBy("host", "node", "parent", "running", "kind", "item", "chars").agg(F.sum("pages").alias("pages"))
+    weight = F.col("weight") if "weight" in pages.columns else F.lit(1.0)
+    found = pages.select("host", "html", weight.alias("weight")).mapInArrow(run, "host string, node long, parent long, running boolean, kind int, item long, chars long, pages double")
+    return found.groupBy("host", "node", "parent", "running", "kind", "item", "chars").agg(F.round(F.sum("pages"), 6).alias("pages"))
 
 
 def importance(counts: DataFrame) -> DataFrame:
@@ -369,8 +371,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: i
     repeated rows stay. Columns may have any names but those starting with ``_site_``.
     """
     others = [c for c in pages.columns if c not in (html, column)]
-    hosted = pages.withColumn("_site_host", host_of(url))
-    seen = distinct_pages(hosted.select(F.col("_site_host").alias("host"), F.col(f"`{html}`").alias("html")))
+    hosted = spread(pages.withColumn("_site_host", host_of(url)))
+    seen = weighted_pages(hosted.select(F.col("_site_host").alias("host"), F.col(f"`{html}`").alias("html")))
     gone = removed(materialize(importance(materialize(tree_counts(seen), "counts")), "importance"), min_pages)
     nodes = gone.groupBy(F.col("host").alias("_site_host")).agg(F.collect_set(F.when(~F.col("strict"), F.col("node"))).alias("_site_noise"), F.collect_set(F.when(F.col("strict"), F.col("node"))).alias("_site_strict"))
     joined = hosted.join(materialize(nodes, "noise"), "_site_host", "left")  # one small row a host; a hot host is split by adaptive execution

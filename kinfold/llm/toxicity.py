@@ -2,11 +2,13 @@
 
 Features are the 4- and 5-grams of code points of the lower-cased text, a space at either end, hashed to ``2**BITS``
 buckets; a text has a feature or not. From labelled texts come the log ratio of a feature's rate among toxic and other
-texts, and by a G-test the features that tell the two apart best. A logistic regression is fitted on these features,
-each scaled by its ratio. Scoring looks every n-gram of every text up in the table of weights.
+texts, and by a G-test all features that tell the two apart with an error probability below 0.001 (``MIN_G``), however
+many these are. A logistic regression is fitted on them, each scaled by its ratio. Scoring looks every n-gram of every
+text up in the table of weights. Two n-grams of one bucket are one feature; 4 million buckets make that rare.
 
-The fit takes at most ``max_rows`` labelled rows (all, if there are fewer), those with the lowest hashed keys; that
-bounds the tables that counting shuffles and the matrix that the driver fits. Scoring covers all rows whole.
+The fit takes at most ``max_rows`` labelled documents (all, if there are fewer), those with the lowest hashed keys, one
+row for each key; that bounds the tables that counting shuffles and the matrix that the driver fits. The weights that are
+broadcast are bounded by the ``2**BITS`` buckets. Scoring covers all rows whole.
 """
 
 from __future__ import annotations
@@ -19,16 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import U64, batch, mix
+from kinfold.llm.common import U64, batch, mix, release
 from kinfold.runtime import materialize
 
 SIZES = (4, 5)
 BITS = 22
 MAX_ROWS = 20_000
-FEATURES = 1_500
+#: The G statistic of a feature that is used: the 0.999 quantile of chi-square with one degree of freedom.
+MIN_G = 10.828
 THRESHOLD = 0.7
 #: Code points that are hashed at once; longer texts are taken in overlapping parts.
-PART = 1 << 20
+PART = 1 << 18
+#: Features that a counting task holds before it sums them, and texts that are scored together.
+HELD, TOGETHER = 2_000_000, 1_000
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
@@ -60,7 +65,7 @@ class Model:
     intercept: float
 
     def scorer(self):
-        index = np.zeros(1 << BITS, np.int16)
+        index = np.zeros(1 << BITS, np.int32)
         index[self.buckets] = np.arange(1, len(self.buckets) + 1)
         weights = np.r_[0.0, self.weights]
 
@@ -91,25 +96,27 @@ def count_features(rows: DataFrame) -> DataFrame:
                 g = np.unique(np.concatenate(list(grams(text or "")) or [np.zeros(0, np.int64)]))
                 held.append(g << 1 | (toxic == 1))
                 size += len(g)
-                if size > 8_000_000:
+                if size > HELD:
                     yield from summed()
                     held, size = [], 0
         if held:
             yield from summed()
+        del held
+        release()
 
     return rows.select("text", "toxic").mapInArrow(run, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def select_features(counts: DataFrame, pos: int, neg: int, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``features`` buckets with the highest G statistic, and their log-count ratios."""
+def select_features(counts: DataFrame, pos: int, neg: int, min_g: float) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets with a G statistic of ``min_g`` or more, in order, and their log-count ratios: 2**BITS rows at most."""
     p, q, a, b = F.col("pos"), F.col("neg"), F.lit(float(pos)), F.lit(float(neg))
     term = lambda seen, want: F.when(seen > 0, seen * F.log(seen / want)).otherwise(0.0)
     all_ = F.lit(float(pos + neg))
     have, lack = (p + q), (all_ - p - q)
     g = term(p, have * a / all_) + term(q, have * b / all_) + term(a - p, lack * a / all_) + term(b - q, lack * b / all_)
-    top = counts.where("pos + neg > 1").withColumn("g", g).orderBy(F.desc("g"), "bucket").limit(features).collect()
-    ratio = [np.log((r.pos + 1) / (pos + 2)) - np.log((r.neg + 1) / (neg + 2)) for r in top]
-    return np.array([r.bucket for r in top], np.int64), np.array(ratio)
+    telling = counts.where("pos + neg > 1").where(2 * g >= min_g).select("bucket", "pos", "neg").toArrow().sort_by("bucket")
+    bucket, seen, other = (telling.column(i).to_numpy() for i in range(3))
+    return bucket, np.log((seen + 1) / (pos + 2)) - np.log((other + 1) / (neg + 2))
 
 
 def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -133,7 +140,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, ratio: np.ndarra
     return w * ratio, float(c)
 
 
-def fit(labelled: DataFrame, features: int = FEATURES) -> Model:
+def fit(labelled: DataFrame, min_g: float = MIN_G) -> Model:
     """A model from ``labelled(text, toxic)``: a bounded table. With one class or no rows every score is that class's
     rate (0.5 without rows)."""
     rows = materialize(labelled.select("text", "toxic"), "labelled")
@@ -142,16 +149,16 @@ def fit(labelled: DataFrame, features: int = FEATURES) -> Model:
     if not pos or not neg:
         rate = 0.5 if not pos and not neg else float(bool(pos))
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.clip(np.log((rate + 1e-9) / (1 - rate + 1e-9)), -20, 20)))
-    buckets, ratio = select_features(count_features(rows), pos, neg, features)
-    held = rows.sparkSession.sparkContext.broadcast(buckets)  # at most ``features`` numbers
+    buckets, ratio = select_features(count_features(rows), pos, neg, min_g)
+    held = rows.sparkSession.sparkContext.broadcast(buckets)  # at most 2**BITS numbers
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = np.zeros(1 << BITS, np.int16)
+        index = np.zeros(1 << BITS, np.int32)
         index[held.value] = np.arange(1, len(held.value) + 1)
         for b in it:
-            yield batch(toxic=b.column(1).cast(pa.int32()), features=pa.array([present(t or "", index) - 1 for t in b.column(0).to_pylist()], pa.list_(pa.int16())))
+            yield batch(toxic=b.column(1).cast(pa.int32()), features=pa.array([present(t or "", index) - 1 for t in b.column(0).to_pylist()], pa.list_(pa.int32())))
 
-    matrix = rows.mapInArrow(run, "toxic int, features array<short>").toArrow()
+    matrix = rows.mapInArrow(run, "toxic int, features array<int>").toArrow()
     lists = matrix.column("features").combine_chunks()
     n = np.asarray(lists.value_lengths())
     weights, intercept = logistic(np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy().astype(np.int64), matrix.column("toxic").to_numpy(), ratio)
@@ -160,14 +167,20 @@ def fit(labelled: DataFrame, features: int = FEATURES) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with a new column: how likely each whole text is toxic. Null and empty texts have no feature and get the
-    intercept's score. A column of that name must not be there already."""
+    intercept's score. A column of that name is replaced."""
+    if column != text:
+        docs = docs.drop(column)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = held.value.scorer()
-        for b in it:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t) for t in b.column(at).to_pylist()], pa.float64())], [*b.schema.names, column])
+        for whole in it:
+            for s in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(s, TOGETHER)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t) for t in b.column(at).to_pylist()], pa.float64())], [*b.schema.names, column])
+        del of
+        release()
 
     return docs.mapInArrow(run, _with_score(docs.schema, column))
 
@@ -180,13 +193,15 @@ def _with_score(schema, column: str):
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out=None) -> DataFrame:
     """``(text, toxic)`` of at most ``max_rows`` documents with a label 0 or 1, lowest hashed doc_id first. Where rows
-    of ``labels`` disagree, toxic wins. ``held_out`` is a condition on doc_id: such rows are never taken."""
+    of ``labels`` disagree, toxic wins; of rows of ``docs`` that share a doc_id the smallest text is taken. ``held_out`` is
+    a condition on doc_id: such rows are never taken."""
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     if held_out is not None:
         known = known.where(~held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     taken = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("text", "toxic")
+    own = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
+    return own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def is_held_out():
