@@ -2,10 +2,14 @@
 
 Documents become pieces of at most ``capacity`` tokens. What packing needs to know of any number of pieces is how many
 there are of each length, a table of at most ``capacity`` rows. The search runs on that table: it completes the bin
-around the longest piece left with an undominated filling (no other filling replaces its pieces by longer ones within
-the bin), the fullest first as best fit would, and repeats a filling as often as the counts allow, so its effort depends
-on the number of lengths and not of documents. Other fillings are branched to where the waste so far leaves room for
-fewer bins than the incumbent has; a waste of nothing but the last bin proves the incumbent best and ends the search.
+around the longest piece left, with each filling in turn that no other one dominates (one that holds a further piece, or
+a longer one in place of one or two of its pieces), the fullest first as best fit would. A filling is repeated as often
+as the counts allow, then once less often, and so on, so that effort depends on the number of lengths and not of
+documents. Best fit decreasing gives the first incumbent; dives of the search that take another of the fullest fillings
+at one place, the last places first, give better ones (limited discrepancy, ``DIVE_NODES`` fillings). Then the search is
+for one sequence fewer, depth first over all fillings, where the waste that is left and a lower bound on the rest prune.
+It ends when the incumbent meets the lower bound, when everything is searched (the incumbent is the best then), or after
+``SEARCH_NODES`` steps; what is returned says how many sequences there are and how many are needed at least.
 
 The result is a list of fillings with multiplicities. Each says which ranks of which length go to which bins, so pieces
 are placed by a join on length and rank. Ranks come from counts per (length, salt) and a row number inside them: a
@@ -14,10 +18,11 @@ length that a third of all pieces share is dealt to many tasks.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,8 +41,10 @@ CACHE_WORDS, CACHE_LENGTH = 80_000, 64
 TOGETHER, GATHERED = 12_000_000, 200_000
 #: Punctuation that may close a word and is encoded by itself.
 CLOSING = ".,!?;:"
-#: Fillings that the search may choose over all its branches before it keeps its incumbent.
+#: Steps of the search (fillings chosen, pieces tried for one) after which it keeps its incumbent.
 SEARCH_NODES = 30_000
+#: Fillings that dives may choose before.
+DIVE_NODES = 15_000
 #: Pieces of one length that are numbered together.
 SALTED_ROWS = 1_000
 
@@ -210,12 +217,18 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
 Fill = tuple[tuple[int, ...], int]
 
 
+class Spent(Exception):
+    """The search has used up its steps."""
+
+
 @dataclass
 class Search:
-    """Bin completion over a table of lengths. ``best`` holds (lengths of a bin, number of such bins)."""
+    """Bin completion over a table of lengths. ``best`` holds (lengths of a bin, number of such bins), ``bins`` their
+    number, ``bound`` the number that is needed at least: where they differ, the steps ran out."""
 
     capacity: int
     nodes: int = SEARCH_NODES
+    dives: int = DIVE_NODES
     best: list[Fill] = field(default_factory=list)
     bins: int = 0
     bound: int = 0
@@ -228,26 +241,41 @@ class Search:
             have[size] = n
         self.bound = lower_bound(have, self.capacity)
         self.best, self.bins = [], 0
-        if self.bound:
-            self.best = best_fit(have, self.capacity)
-            self.bins = sum(n for _, n in self.best)
-            self._dive(have, [], 0, 0)
-            self._branch(have)
+        if not self.bound:
+            return []
+        self.best = best_fit(have, self.capacity)
+        self.bins = sum(n for _, n in self.best)
+        self._dive(have, [], 0, 0)
+        self._improve(have)
+        try:
+            while self.bins > self.bound:
+                found = self._complete(have, self.bins - 1)
+                if found is None:
+                    self.bound = self.bins
+                else:
+                    self.best, self.bins = found, sum(n for _, n in found)
+        except Spent:
+            pass
         return self.best
 
+    def step(self) -> None:
+        self.nodes -= 1
+        if self.nodes < 0:
+            raise Spent
+
     def _dive(self, have: np.ndarray, done: list[Fill], bins: int, skip: int) -> None:
-        """Complete bins to the end, taking the fullest filling each time but the ``skip``-th best first."""
+        """Complete bins to the end, with the fullest of a few fillings each time but the ``skip``-th best first."""
         have, done = have.copy(), list(done)
         left = int((have * np.arange(len(have))).sum())
         while left:
-            self.nodes -= 1
-            if self.bins and bins + -(-left // self.capacity) >= self.bins:
+            self.dives -= 1
+            if bins + -(-left // self.capacity) >= self.bins or self.dives < 0:
                 return
             big = int(np.flatnonzero(have)[-1])
             have[big] -= 1
-            fillings = undominated(have, self.capacity - big)
+            few = fullest(have, self.capacity - big)
             have[big] += 1
-            take = (big, *fillings[min(skip, len(fillings) - 1)])
+            take = (big, *few[min(skip, len(few) - 1)])
             skip = 0
             need = np.bincount(take, minlength=len(have))
             used = np.flatnonzero(need)
@@ -256,30 +284,132 @@ class Search:
             done.append((take, times))
             bins += times
             left -= times * sum(take)
-            if self.nodes < 0 and self.bins:
-                return
-        if not self.bins or bins < self.bins:
-            self.best, self.bins = done, bins
+        self.best, self.bins = done, bins
 
-    def _branch(self, have: np.ndarray) -> None:
-        """Limited discrepancy: from the last state of the incumbent's dive to the first, take another filling."""
-        while self.bins > self.bound and self.nodes > 0:
+    def _improve(self, have: np.ndarray) -> None:
+        """From the last state of the incumbent to the first, dive with another filling; again while that gains."""
+        before = self.bins + 1
+        while self.bound < self.bins < before and self.dives > 0:
             before = self.bins
-            state, bins, done = have.copy(), 0, []
-            trail = []
+            state, bins, done, trail = have.copy(), 0, [], []
             for take, times in self.best:
-                trail.append((state.copy(), bins, list(done)))
-                need = np.bincount(take, minlength=len(state))
-                state = state - times * need
+                trail.append((state, bins, len(done)))
+                state = state - times * np.bincount(take, minlength=len(state))
                 bins += times
                 done.append((take, times))
-            for s, b, d in reversed(trail[-256:]):
+            for s, b, n in reversed(trail):
                 for skip in (1, 2):
-                    if self.bins <= self.bound or self.nodes < 0:
-                        return
-                    self._dive(s, d, b, skip)
-            if self.bins == before:
-                return
+                    if self.bins > self.bound and self.dives > 0:
+                        self._dive(s, done[:n], b, skip)
+
+    def _complete(self, have: np.ndarray, target: int) -> list[Fill] | None:
+        """A packing into ``target`` bins, or None if there is none: depth first, all undominated fillings."""
+        spare = target * self.capacity - int((have * np.arange(len(have))).sum())
+        stack = [_Node(have, spare, target, 0, ())]
+        while stack:
+            node = stack[-1]
+            if node.options is None:
+                self.step()
+                lengths = np.flatnonzero(node.have)
+                if not len(lengths):
+                    return [(x.take, x.times) for x in stack[:-1]]
+                if node.spare < 0 or lower_bound(node.have, self.capacity) > node.bins:
+                    stack.pop()
+                    continue
+                node.big = int(lengths[-1])
+                rest = node.have.copy()
+                rest[node.big] -= 1
+                node.options = fillings(rest, self.capacity - node.big, node.spare, self.step)
+            node.times -= 1
+            while node.times < 1:
+                fill = next(node.options, None)
+                if fill is None:
+                    break
+                node.take = (node.big, *fill)
+                # Fillings of pieces of one length are chosen in their order: others would only repeat a set of bins.
+                if node.after and node.after[0] == node.big and _order(node.take, self.capacity) <= _order(node.after, self.capacity):
+                    continue
+                node.need = np.bincount(node.take, minlength=len(node.have))
+                used = np.flatnonzero(node.need)
+                waste = self.capacity - sum(node.take)
+                node.times = min(int((node.have[used] // node.need[used]).min()), node.bins, node.spare // waste if waste else node.bins)
+            if node.times < 1:
+                stack.pop()
+                continue
+            waste = self.capacity - sum(node.take)
+            stack.append(_Node(node.have - node.times * node.need, node.spare - node.times * waste, node.bins - node.times, 0, node.take))
+        return None
+
+
+@dataclass
+class _Node:
+    """A state of the search: pieces, waste and bins left, and the filling that is being tried, how often."""
+
+    have: np.ndarray
+    spare: int
+    bins: int
+    times: int
+    after: tuple[int, ...]
+    take: tuple[int, ...] = ()
+    need: np.ndarray | None = None
+    big: int = 0
+    options: Iterator[tuple[int, ...]] | None = None
+
+
+def _order(take: tuple[int, ...], capacity: int) -> tuple:
+    return (capacity - sum(take), len(take), tuple(-x for x in take))
+
+
+def fillings(have: np.ndarray, room: int, spare: int, step: Callable[[], None] = lambda: None) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room`` by pieces of ``have`` that waste ``spare`` at most: the fullest first, then
+    those of fewest pieces, then those of the longest. ``step`` is called as the enumeration goes on."""
+    sizes = np.flatnonzero(have[: room + 1])
+    if not len(sizes):
+        if room <= spare:
+            yield ()
+        return
+    low = int(sizes[0])
+    used = np.zeros(len(have), np.int64)
+
+    def sums(total: int, pieces: int, most: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of this sum and number of pieces, none longer than ``most``."""
+        if pieces == 1:
+            if total <= most and have[total] > used[total]:
+                yield (total,)
+            return
+        x = sizes[np.searchsorted(sizes, -(-total // pieces)) : np.searchsorted(sizes, min(most, total - (pieces - 1) * low), side="right")][::-1]
+        x = x[have[x] > used[x]]
+        if pieces == 2:
+            y = total - x
+            for a, b in zip(x.tolist(), y.tolist(), strict=True) if len(x) < 8 else zip(x[have[y] > used[y]].tolist(), y[have[y] > used[y]].tolist(), strict=True):
+                if have[b] > used[b] + (a == b):
+                    yield (a, b)
+            return
+        for a in x.tolist():
+            step()
+            used[a] += 1
+            for more in sums(total - a, pieces - 1, a):
+                yield (a, *more)
+            used[a] -= 1
+
+    for waste in range(min(spare, room) + 1):
+        total = room - waste
+        if waste >= low and have[low] * low > total:
+            return  # there is always a short piece left that fits as well
+        for pieces in range(1, total // low + 1):
+            step()
+            for fill in sums(total, pieces, int(sizes[-1])):
+                if not waste or undominated(have, fill, waste):
+                    yield fill
+
+
+def undominated(have: np.ndarray, fill: tuple[int, ...], waste: int) -> bool:
+    """Whether no piece left fits into the waste, and none is longer than one or two of ``fill`` by no more than it."""
+    left = have - np.bincount(fill, minlength=len(have)) > 0
+    if left[1 : waste + 1].any():
+        return False
+    small = set(fill) | {a + b for i, a in enumerate(fill) for b in fill[i + 1 :]}
+    return not any(left[x + 1 if x in fill else x : x + waste + 1].any() for x in small if x < len(left))
 
 
 def best_fit(have: np.ndarray, capacity: int) -> list[Fill]:
@@ -305,30 +435,40 @@ def best_fit(have: np.ndarray, capacity: int) -> list[Fill]:
     return [f for fills in by_gap.values() for f in fills]
 
 
+@functools.cache
+def _weights(capacity: int) -> np.ndarray:
+    """Dual feasible functions of Fekete and Schepers, k from 2 to 32: a piece that is no whole (k + 1)-th of a bin weighs
+    its k-ths rounded down; in units of 1 / (k * capacity)."""
+    sizes = np.arange(capacity + 1)
+    out = []
+    for k in range(2, 33):
+        parts, rest = np.divmod((k + 1) * sizes, capacity)
+        out.append(np.where(rest == 0, k * sizes, parts * capacity))
+    return np.stack(out)
+
+
 def lower_bound(have: np.ndarray, capacity: int) -> int:
     """Martello and Toth's L2 (bins that pieces over half a bin open, and what the rest needs beyond their gaps), or a
     bound by dual feasible functions if that is higher."""
     sizes = np.arange(len(have))
     n, w = np.cumsum(have[::-1])[::-1], np.cumsum((have * sizes)[::-1])[::-1]
+    n, w = np.append(n, 0), np.append(w, 0)
     best = -(-int(w[0]) // capacity)
-    at = lambda a, i: int(a[i]) if i < len(a) else 0
     half = capacity // 2
-    for k in range(half + 1):
-        over = at(n, capacity - k + 1)
-        mid_n, mid_w = at(n, half + 1) - over, at(w, half + 1) - at(w, capacity - k + 1)
-        small = at(w, k) - at(w, half + 1)
-        best = max(best, over + mid_n + max(0, -(-(small - (mid_n * capacity - mid_w)) // capacity)))
-    for k in range(2, 33):  # Fekete and Schepers: a piece that is no whole (k + 1)-th of a bin weighs its k-ths rounded down
-        parts, rest = np.divmod((k + 1) * sizes, capacity)
-        weight = np.where(rest == 0, k * sizes, parts * capacity)  # in units of 1 / (k * capacity)
-        best = max(best, -(-int((have * weight).sum()) // (k * capacity)))
-    return best
-
-
-def undominated(have: np.ndarray, room: int, wide: int = 48) -> list[tuple[int, ...]]:
-    """Fillings of ``room`` by pieces of ``have``, fullest first, then those of fewest pieces, which leave the short ones
-    for later: one piece, a pair or a triple with the longest
-    possible partners, and beyond these the longest piece that fits, again and again. One empty filling if nothing fits."""
+    k = np.arange(half + 1)
+    top = capacity - k + 1
+    over = n[top]
+    mid_n, mid_w = n[half + 1] - over, w[half + 1] - w[top]
+    small = w[k] - w[half + 1]
+    best = max(best, int((over + mid_n + np.maximum(0, -(-(small - (mid_n * capacity - mid_w)) // capacity))).max()))
+    dual = _weights(capacity) @ have
+    return max(best, int((-(-dual // (np.arange(2, 33) * capacity))).max()))
+
+
+def fullest(have: np.ndarray, room: int, wide: int = 48) -> list[tuple[int, ...]]:
+    """A few good fillings of ``room`` by pieces of ``have``, for the dives: one piece, a pair or a triple with the longest
+    possible partners, each filled up with the longest piece that fits, again and again. The fullest come first, then
+    those of the fewest pieces, which leave the short ones for later. One empty filling if nothing fits."""
     sizes = np.flatnonzero(have[: room + 1])
     if not len(sizes):
         return [()]
@@ -393,14 +533,16 @@ def slots(fills: list[Fill]) -> list[tuple[int, int, int, int, int]]:
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``: every row a place of its own, gapless from offset 0.
+    """``pieces`` with ``sequence_id`` and ``offset``: every row a place of its own, gapless from offset 0; and, the same in
+    all rows, ``sequences``, how many there are, and ``at_least``, how many are needed at least as far as is proved.
 
     ``pieces`` is read several times; give a materialized table. Lengths must lie in 1..capacity. Rows that tie in
     ``order`` and ``length`` share out their places arbitrarily.
     """
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most ``capacity`` rows
-    fills = Search(capacity).run(counts)
+    search = Search(capacity)
+    fills = search.run(counts)
     plan = spark.createDataFrame(slots(fills) or [(0, 0, 0, 0, 0)], f"{length} long, first long, ranks long, base long, offset long")
     salts = spark.createDataFrame([(k, 1 + n // SALTED_ROWS) for k, n in counts.items()] or [(0, 1)], f"{length} long, salts long")
     salted = pieces.join(F.broadcast(salts), length).withColumn("salt", F.pmod(F.xxhash64(*order), "salts")).drop("salts")
@@ -413,11 +555,12 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", o
     found = ranked.join(F.broadcast(per_length), length)
     spot = F.explode(F.filter("places", lambda p: (p["first"] <= F.col("rank")) & (F.col("rank") < p["first"] + p["ranks"])))
     found = found.withColumn("spot", spot)
-    return found.select(*pieces.columns, (F.col("spot.base") + F.col("rank") - F.col("spot.first")).alias("sequence_id"), F.col("spot.offset").alias("offset"))
+    place_ = (F.col("spot.base") + F.col("rank") - F.col("spot.first")).alias("sequence_id"), F.col("spot.offset").alias("offset")
+    return found.select(*pieces.columns, *place_, F.lit(search.bins).cast("long").alias("sequences"), F.lit(search.bound).cast("long").alias("at_least"))
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Tokenize, cut and pack whole documents: the columns of ``tokenize_pieces``, ``sequence_id`` and ``offset``.
+    """Tokenize, cut and pack whole documents: the columns of ``tokenize_pieces`` and those of ``place``.
 
     An empty table gives an empty one.
     """

@@ -50,10 +50,49 @@ def test_search_is_as_good_as_trying_all():
         s = packing.Search(30)
         fills = s.run(Counter(items))
         check_fills(Counter(items), fills, 30)
-        assert s.bound <= best_bins(items, 30) <= s.bins <= best_bins(items, 30) + (s.bins > s.bound)
+        assert s.bound == best_bins(items, 30) == s.bins
         assert s.bins == sum(n for _, n in fills)
 
 
+def all_fillings(items, room):
+    out = {()}
+    for x in items:
+        out |= {tuple(sorted((*f, x), reverse=True)) for f in out if sum(f) + x <= room}
+    return out
+
+
+def test_fillings_are_the_undominated_ones():
+    """Every filling to which no piece can be added and of which no one or two pieces can give way to a longer one."""
+    rnd = random.Random(2)
+    for _ in range(60):
+        items = [rnd.randrange(1, 16) for _ in range(rnd.randrange(0, 9))]
+        room, spare = rnd.randrange(0, 25), rnd.randrange(0, 25)
+        have = np.bincount(items, minlength=31)
+        got = list(packing.fillings(have, room, spare))
+        assert len(got) == len(set(got)) and got == sorted(got, key=lambda f: packing._order(f, room))
+
+        def undominated(f):
+            gap, left = room - sum(f), list((Counter(items) - Counter(f)).elements())
+            parts = [0, *f, *(a + b for i, a in enumerate(f) for b in f[i + 1 :])]
+            return not any(p + (p == 0 or p in f) <= y <= p + gap and gap for p in parts for y in left)
+
+        assert set(got) == {f for f in all_fillings(items, room) if room - sum(f) <= spare and undominated(f)}
+
+
+def test_triples_that_fill_bins_exactly():
+    rnd = random.Random(7)
+    for n, low in ((20, 300), (20, 1), (200, 1)):
+        items = []
+        while len(items) < 3 * n:
+            a, b = rnd.randrange(low, 1000), rnd.randrange(low, 1000)
+            items += [a, b, 2048 - a - b]
+        s = packing.Search(2048)
+        fills = s.run(Counter(items))
+        check_fills(Counter(items), fills, 2048)
+        assert s.bins - s.bound <= 1 and s.bound == n
+        assert n > 20 or s.bins == n
+
+
 def best_fit_decreasing(sizes, capacity):
     gaps = Counter()
     bins = 0
@@ -103,7 +142,8 @@ def test_query_equals_the_tokenizer(spark):
             assert offset == at
             at += length
         assert at <= 2048
-    assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
+    assert {(r.sequences, r.at_least) for r in got} == {(len(bins), len(bins))}
+    assert len(bins) == packing.lower_bound(np.bincount([r.length for r in got], minlength=2049), 2048)
     assert packing.op3_query(df.limit(0)).count() == 0
 
 
