@@ -2,13 +2,14 @@
 
 Features are the 4- and 5-grams of code points of the lower-cased text, a space at either end, hashed to ``2**BITS``
 buckets; a text has a feature or not. From labelled texts come the log ratio of a feature's rate among toxic and other
-texts, and by a G-test all features that tell the two apart with an error probability below 0.001 (``MIN_G``), however
-many these are. A logistic regression is fitted on them, each scaled by its ratio. Scoring looks every n-gram of every
+texts, and by a G-test the features that tell the two apart with an error probability below 0.001 (``MIN_G``), the
+``FEATURES`` best of them (the size of the model, whatever the input's). A logistic regression is fitted on them, each
+scaled by its ratio. Scoring looks every n-gram of every
 text up in the table of weights. Two n-grams of one bucket are one feature; 4 million buckets make that rare.
 
 The fit takes at most ``max_rows`` labelled documents (all, if there are fewer), those with the lowest hashed keys, one
-row for each key; that bounds the tables that counting shuffles and the matrix that the driver fits. The weights that are
-broadcast are bounded by the ``2**BITS`` buckets. Scoring covers all rows whole.
+row for each key; that bounds the tables that counting shuffles and the matrix that the driver fits. Scoring covers all
+rows whole.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BITS = 22
 MAX_ROWS = 20_000
 #: The G statistic of a feature that is used: the 0.999 quantile of chi-square with one degree of freedom.
 MIN_G = 10.828
+#: Features of a model at most: the driver holds the labelled rows' features while it fits.
+FEATURES = 2_000
 THRESHOLD = 0.7
 #: Code points that are hashed at once; longer texts are taken in overlapping parts.
 PART = 1 << 18
@@ -107,14 +110,15 @@ def count_features(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def select_features(counts: DataFrame, pos: int, neg: int, min_g: float) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets with a G statistic of ``min_g`` or more, in order, and their log-count ratios: 2**BITS rows at most."""
+def select_features(counts: DataFrame, pos: int, neg: int, min_g: float = MIN_G, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The ``features`` buckets with the highest G statistic of ``min_g`` or more, in order, and their log-count ratios."""
     p, q, a, b = F.col("pos"), F.col("neg"), F.lit(float(pos)), F.lit(float(neg))
     term = lambda seen, want: F.when(seen > 0, seen * F.log(seen / want)).otherwise(0.0)
     all_ = F.lit(float(pos + neg))
     have, lack = (p + q), (all_ - p - q)
     g = term(p, have * a / all_) + term(q, have * b / all_) + term(a - p, lack * a / all_) + term(b - q, lack * b / all_)
-    telling = counts.where("pos + neg > 1").where(2 * g >= min_g).select("bucket", "pos", "neg").toArrow().sort_by("bucket")
+    telling = counts.where("pos + neg > 1").withColumn("g", 2 * g).where(F.col("g") >= min_g).orderBy(F.desc("g"), "bucket").limit(features)
+    telling = telling.select("bucket", "pos", "neg").toArrow().sort_by("bucket")
     bucket, seen, other = (telling.column(i).to_numpy() for i in range(3))
     return bucket, np.log((seen + 1) / (pos + 2)) - np.log((other + 1) / (neg + 2))
 
@@ -140,7 +144,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, ratio: np.ndarra
     return w * ratio, float(c)
 
 
-def fit(labelled: DataFrame, min_g: float = MIN_G) -> Model:
+def fit(labelled: DataFrame, min_g: float = MIN_G, features: int = FEATURES) -> Model:
     """A model from ``labelled(text, toxic)``: a bounded table. With one class or no rows every score is that class's
     rate (0.5 without rows)."""
     rows = materialize(labelled.select("text", "toxic"), "labelled")
@@ -149,8 +153,8 @@ def fit(labelled: DataFrame, min_g: float = MIN_G) -> Model:
     if not pos or not neg:
         rate = 0.5 if not pos and not neg else float(bool(pos))
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.clip(np.log((rate + 1e-9) / (1 - rate + 1e-9)), -20, 20)))
-    buckets, ratio = select_features(count_features(rows), pos, neg, min_g)
-    held = rows.sparkSession.sparkContext.broadcast(buckets)  # at most 2**BITS numbers
+    buckets, ratio = select_features(count_features(rows), pos, neg, min_g, features)
+    held = rows.sparkSession.sparkContext.broadcast(buckets)  # at most ``features`` numbers
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = np.zeros(1 << BITS, np.int32)
