@@ -6,6 +6,9 @@ bucket are summed again by their next bits, down to a single hash value, which i
 budget. What remains is one threshold per source: documents are filtered by comparing their hash to it, never sorted.
 Thresholds are nested: a larger budget takes what a smaller one takes and more, and a document's second copy is taken
 only where all first copies are.
+
+A hash is that of the key. Rows that share a key, null or not, are told apart by their text and source, and rows that are
+equal in all of these by a number, so that no group of rows is one unit that a threshold takes as a whole.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.runtime import materialize
+from kinfold.runtime import materialize, small
 
 WORDS = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -25,9 +28,36 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def hash_of(key: str = "doc_id") -> Column:
-    """60 bits of a key's md5; null keys share one value."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def _hash(value: Column) -> Column:
+    """60 bits of a string's md5."""
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def with_hash(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", column: str = "h") -> DataFrame:
+    """``docs`` with each row's hash in ``column``: that of its key; where rows share a key, that of key, source and text;
+    where these are equal, too, that of them and a number from 0 on, whichever row has which.
+
+    Equal rows are numbered by the partition that they came in and there in turn: the numbers of a large group are given
+    out by many tasks. Only rows of shared keys are looked at more closely, and only equal ones are shuffled.
+    """
+    name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+    first = docs.withColumn("_mix_key", _hash(name))
+    shared = materialize(first.groupBy(F.col("_mix_key")).agg(F.count("*").alias("n")).where("n > 1").select("_mix_key", F.lit(True).alias("_mix_shared")), "shared")
+    if shared.isEmpty():
+        return first.withColumnRenamed("_mix_key", column)
+    whole = F.concat(name, F.lit("|"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`")), F.lit("n")), F.lit("|"), F.coalesce(F.concat(F.lit("t"), F.col(f"`{text}`")), F.lit("n")))
+    marked = first.join(small(shared), "_mix_key", "left").withColumn("_mix_whole", F.when(F.col("_mix_shared"), _hash(whole)))
+    equal = marked.where("_mix_shared").groupBy("_mix_whole").agg(F.count("*").alias("n")).where("n > 1").select("_mix_whole", F.lit(True).alias("_mix_equal"))
+    marked = marked.join(small(materialize(equal, "equal")), "_mix_whole", "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = marked.where("_mix_equal is null").select(*columns, F.coalesce("_mix_whole", "_mix_key").alias(column))
+    several = materialize(marked.where("_mix_equal").select(*columns, "_mix_whole").withColumn("_mix_part", F.spark_partition_id()), "several")
+    before = Window.partitionBy("_mix_whole").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = several.groupBy("_mix_whole", "_mix_part").count().select("_mix_whole", "_mix_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_mix_ahead"))
+    own = F.row_number().over(Window.partitionBy("_mix_whole", "_mix_part").orderBy(F.lit(0))) - 1
+    several = several.withColumn("_mix_own", own).join(ahead, ["_mix_whole", "_mix_part"])
+    number = F.col("_mix_own") + F.col("_mix_ahead")
+    return single.unionAll(several.select(*columns, F.when(number == 0, F.col("_mix_whole")).otherwise(_hash(F.concat_ws("|", F.col("_mix_whole").cast("string"), number.cast("string")))).alias(column)))
 
 
 def source_key(source: str = "source") -> Column:
@@ -84,25 +114,31 @@ def copies() -> Column:
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **plan) -> DataFrame:
     """``docs``, each row as often as the mix takes it: the sample itself, with the columns that it had.
 
-    Null texts have size 0, null sources are a source, null keys are taken together; repeated rows share a hash and are
-    taken alike. An empty table gives an empty one. Columns may have any names but those starting with ``_mix_``.
+    Null texts have size 0, null sources are a source, rows with null or repeated keys are taken or left one by one. An
+    empty table gives an empty one. Columns may have any names but those starting with ``_mix_``.
     """
-    hashed = materialize(docs.select(source_key(source).alias("s"), hash_of(key).alias("h"), size_of(text).alias("size")), "hashed")
+    docs = with_hash(docs, key, text, source, "_mix_h")
+    hashed = materialize(docs.select(source_key(source).alias("s"), F.col("_mix_h").alias("h"), size_of(text).alias("size")), "hashed")
     cut = materialize(thresholds(hashed, **plan), "thresholds").select(F.col("s").alias("_mix_s"), F.col("whole").alias("_mix_whole"), F.col("threshold").alias("_mix_below"))
-    rows = docs.withColumn("_mix_s", source_key(source)).withColumn("_mix_h", hash_of(key)).join(cut, "_mix_s")
+    rows = docs.withColumn("_mix_s", source_key(source)).join(cut, "_mix_s")
     times = F.col("_mix_whole") + (F.col("_mix_h") < F.col("_mix_below")).cast("int")
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns if c != "_mix_h"])
 
 
 def op5_query(docs: DataFrame) -> DataFrame:
-    hashed = materialize(docs.select("doc_id", source_key().alias("s"), hash_of().alias("h"), size_of().alias("size")), "hashed")
+    hashed = materialize(with_hash(docs.select("doc_id", "text", "source")).select("doc_id", source_key().alias("s"), "h", size_of().alias("size")), "hashed")
     rows = hashed.join(materialize(thresholds(hashed), "thresholds"), "s")
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+WITH k AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+k1 AS (SELECT doc_id, source, size,
+              CASE WHEN count(*) OVER (PARTITION BY h) = 1 THEN h
+                   ELSE CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce('s' || source, 'n') || '|' || coalesce('t' || text, 'n')), 1, 15) AS BIGINT) END AS h FROM k),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY h) - 1 AS number FROM k1),
+d AS (SELECT doc_id, source, size, CASE WHEN number = 0 THEN h ELSE CAST('0x' || substr(md5(h || '|' || number), 1, 15) AS BIGINT) END AS h FROM k2),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w,
              source_size * 2.0::DOUBLE AS most FROM s),
