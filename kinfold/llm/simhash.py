@@ -7,9 +7,11 @@ The index. Two 64-bit fingerprints within r bits agree wholly on at least one of
 fingerprint is filed once under each field. Below a field value stands one tree: its members sorted by Gray rank, in
 blocks of ``LEAF`` whose common bits are factored into a masked pattern, four blocks under an upper node with the bits
 that all four share, and so on. A pair of nodes whose patterns differ in more than r of the bits that both fix is left
-with all that stands below it; the rest is opened level by level down to an exact comparison. A field value with over
-``max_group`` members (a large family of near copies) is dealt to several tasks by its next Gray-ordered bits, and a
-member visits the blocks of the same value whose bits differ from its own in at most r places.
+with all that stands below it; the rest is opened level by level down to an exact comparison. A tree of one leaf is that
+comparison. A field value with over ``max_group`` members (a large family of near copies) is dealt to several tasks by its
+next Gray-ordered bits, and a member visits the blocks of the same value that have members of their own and whose bits
+differ from its own in at most r places; a block with too many members of its own is dealt by the bits after these, and so
+on down to the last bits.
 
 What leaves a task are not all pairs but, for each member, a link to the smallest member it hangs together with there:
 components come out whole and the output grows with the members.
@@ -27,15 +29,15 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.common import MASK64, U64, batch, majority, mix, texts
 from kinfold.operators.components import connected_components
-from kinfold.runtime import materialize, partitions_for
+from kinfold.runtime import materialize, partitions_for, small
 
 SEED = 42
 LEAF, FAN = 32, 4
-SMALL = 48
+SMALL = LEAF
 CHUNK = 4096
 #: Members of a bit-field value that one task compares; beyond it the value is split.
 MAX_GROUP = 20_000
-#: Further bits that split a large value.
+#: Further bits that split a large value or block.
 SPLIT_BITS = 12
 
 
@@ -220,29 +222,36 @@ def hamming_links(fps: DataFrame, radius: int, rows: int, max_group: int = MAX_G
     turned = F.array(*[F.col("fp") if not c else F.shiftleft("fp", c).bitwiseOR(F.shiftrightunsigned("fp", 64 - c)) for c in cuts[:-1]])
     filed = fps.select("fp", F.posexplode(turned).alias("field", "turned"))
     width = F.element_at(F.array(*[F.lit(b - a) for a, b in zip(cuts, cuts[1:], strict=False)]), F.col("field") + 1)
-    filed = filed.withColumn("value", F.call_function("shiftrightunsigned", F.col("turned"), F.lit(64) - width))
-    sizes = filed.groupBy("field", "value").count().where(F.col("count") > max_group).select("field", "value", F.lit(True).alias("large"))
-    after = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("turned"), width), F.lit(64 - split_bits))
+    value = F.call_function("shiftrightunsigned", F.col("turned"), F.lit(64) - width)
+    # Groups go by a hash of what their members agree on: should two coincide, they are compared together.
+    filed = filed.select(F.xxhash64("field", value).alias("path"), "turned", "fp", width.alias("used"), F.lit(True).alias("own"))
     flips = [0, *(1 << i for i in range(split_bits))] if radius else [0]
     near = [0]
     for _ in range(min(radius, split_bits)):
         near = sorted({x ^ y for x in near for y in flips})
-    own = F.array(F.lit(-1).cast("long"))
+    block = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("turned"), F.col("used")), F.lit(64 - split_bits))
     visits = F.filter(F.transform(F.array(*[F.lit(x).cast("long") for x in near]), lambda m: m.bitwiseXOR(F.col("block"))), lambda x: x >= F.col("block"))
-    filed = filed.withColumn("block", after).join(sizes, ["field", "value"], "left")
-    filed = filed.withColumn("block", F.explode(F.when(F.col("large"), visits).otherwise(own)))
+    whole = None
+    while not (large := materialize(filed.where("own").groupBy("path").count().where(F.col("count") > max_group).select("path", F.lit(True).alias("large")), "large")).isEmpty():
+        marked = filed.join(small(large), "path", "left").withColumn("large", F.coalesce(F.col("large") & (F.col("used") + split_bits <= 64), F.lit(False)))
+        rest = marked.where("not large").drop("large")
+        whole = rest if whole is None else whole.unionAll(rest)
+        dealt = marked.where("large").withColumn("block", block).withColumn("visited", F.explode(visits))
+        dealt = dealt.select(F.xxhash64("path", "visited").alias("path"), "turned", "fp", (F.col("used") + split_bits).alias("used"), (F.col("own") & (F.col("block") == F.col("visited"))).alias("own"))
+        dealt = materialize(dealt, "dealt")
+        filed = materialize(dealt.join(dealt.where("own").select("path").distinct(), "path", "left_semi"), "visits")
+    filed = (filed if whole is None else whole.unionAll(filed)).select("path", "turned", "fp")
     n = partitions_for(spark, rows * fields)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = [x for x in it if x.num_rows]
         if not b:
             return
-        field, value, block, rotated, fp = (np.concatenate([x.column(i).to_numpy() for x in b]) for i in range(5))
-        _, group = np.unique(np.stack([field.astype(np.int64), value, block], axis=1), axis=0, return_inverse=True)
-        i, j = group_links(group.ravel(), gray_rank(rotated.view(U64)), fp.view(U64)[:, None], radius)
+        path, rotated, fp = (np.concatenate([x.column(i).to_numpy() for x in b]) for i in range(3))
+        i, j = group_links(path, gray_rank(rotated.view(U64)), fp.view(U64)[:, None], radius)
         yield batch(src=pa.array(fp[i]), dst=pa.array(fp[j]))
 
-    return filed.select("field", "value", "block", "turned", "fp").repartition(n, "field", "value", "block").mapInArrow(run, "src long, dst long")
+    return filed.repartition(n, "path").mapInArrow(run, "src long, dst long")
 
 
 def simhash_components(fps: DataFrame, key: str, radius: int, max_group: int = MAX_GROUP, split_bits: int = SPLIT_BITS) -> DataFrame:
