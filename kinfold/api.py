@@ -55,7 +55,7 @@ class Engine:
 
     def store(self, folder: str) -> StateStore:
         self._root(folder)
-        return StateStore(self.spark, f"{self.state_dir}/{folder}")
+        return StateStore.of(self.spark, f"{self.state_dir}/{folder}")
 
     def listing(self, folder: str) -> DataFrame:
         return folders.listing(self.spark, {folder: self._root(folder)}, self.images, self.videos)

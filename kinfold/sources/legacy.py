@@ -36,7 +36,7 @@ def migrate(spark: SparkSession, file: str | Path, state_path: str, dry_run: boo
         return False
     if not readable(data) or read_summary(spark, state_path)["status"] != "pending" or dry_run:
         return readable(data) and dry_run
-    store = StateStore(spark, state_path)
+    store = StateStore.of(spark, state_path)
     if store.table("file_hashes").count():
         return False
     stats = data.get("file_stats") or {}
@@ -60,6 +60,8 @@ def migrate(spark: SparkSession, file: str | Path, state_path: str, dry_run: boo
     return True
 
 
-def main(spark: SparkSession, root: str, name: str, dry_run: bool = False) -> dict[str, bool]:
-    """Migrate every old state of a name below a root: each to a state folder ``<name>.state`` beside it."""
-    return {str(f): migrate(spark, f, f"file://{f.parent.resolve()}/{name}.state", dry_run, remove=not dry_run) for f in find(root, name)}
+def main(spark: SparkSession, root: str, name: str, state_dir: str, dry_run: bool = False) -> dict[str, bool]:
+    """Migrate the old states of a name in the folders right below a data root to where an ``Engine`` with this
+    ``state_dir`` looks for them. Others below the root are no folder's state and are not found."""
+    found = [f for f in find(root, name) if f.parent.parent == Path(root)]
+    return {str(f): migrate(spark, f, f"{state_dir.rstrip('/')}/{f.parent.name}", dry_run, remove=not dry_run) for f in found}

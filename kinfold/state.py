@@ -1,14 +1,21 @@
 """The state of a folder: fingerprints, metadata, groups and choices, kept as versioned parquet tables.
 
-A state lives under one path of any file system that Spark reads. Each table version is a directory of its own; the file
-``CURRENT`` names the version of each table and holds the meta values. A change writes new directories first and renames
-a new ``CURRENT`` into place last, so readers see the state before or after it and never between, and a job that fails
-leaves nothing but a directory that nobody names.
+A state lives under one path of any file system that Spark reads. Each table version is a directory of its own; a pointer
+file names the version of each table and holds the meta values. Pointers are numbered, the highest that can be read is the
+state. A change writes new directories first and then the next pointer, which must not exist yet: nothing is replaced or
+deleted, so readers see the state before or after it and never between, and a writer that dies leaves a directory that
+nobody names or a broken pointer, behind which the one before still stands. Only a state of which no pointer can be parsed
+counts as damaged and is started anew; a file system that fails raises.
+
+Of two writers the second finds its number taken and puts its tables on top of the first one's. Those of one process share
+one store for a path (``StateStore.of``) and take turns.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -33,14 +40,42 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
+def _changing(method):
+    """A method that changes the state: one at a time, on top of its newest version."""
+
+    @functools.wraps(method)
+    def run(self, *args, **kwargs):
+        with self._lock:
+            self._refresh()
+            return method(self, *args, **kwargs)
+
+    return run
+
+
 class StateStore:
-    """Use one store object per path and one writer at a time; readers need no lock."""
+    """The state at a path. Writers of one process should share it by ``of``; readers need no lock."""
+
+    _shared: dict[tuple, StateStore] = {}
+    _sharing = threading.Lock()
 
     def __init__(self, spark: SparkSession, path: str, version: str = STATE_VERSION, now: Callable[[], float] = time.time):
         self.spark, self.path, self.version, self.now = spark, path.rstrip("/"), version, now
+        self._lock = threading.RLock()
         self._pointer: dict = {}
+        self._number = 0
         self._load()
 
+    @classmethod
+    def of(cls, spark: SparkSession, path: str, version: str = STATE_VERSION) -> StateStore:
+        """The one store of this process for a path, however the path is written."""
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        whole = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        with cls._sharing:
+            key = (spark.sparkContext.applicationId, whole, version)
+            if key not in cls._shared:
+                cls._shared[key] = cls(spark, whole, version)
+            return cls._shared[key]
+
     # -- files ---------------------------------------------------------------------------------------------------
 
     def _fs(self, name: str = ""):
@@ -48,47 +83,70 @@ class StateStore:
         p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
-    def _read_pointer(self) -> dict | None:
-        p, fs, jvm = self._fs("CURRENT")
-        if not fs.exists(p):
-            return None
+    def _numbers(self) -> list[int]:
+        """Numbers of the pointers, the newest first."""
+        p, fs, _ = self._fs("pointers")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+    def _parsed(self, number: int) -> dict | None:
+        """A pointer, or None if it is broken: cut off, no JSON, or naming tables that are not there."""
+        p, fs, jvm = self._fs(f"pointers/{number:012d}")
         stream = fs.open(p)
         try:
-            return json.loads(str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            text = str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-
-    def _write_pointer(self, pointer: dict) -> None:
-        p, fs, _ = self._fs("CURRENT")
-        q, _, _ = self._fs(f".CURRENT-{uuid.uuid4().hex}")
-        out = fs.create(q, True)
         try:
-            out.write(bytearray(json.dumps(pointer, sort_keys=True).encode()))
-        finally:
-            out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(q, p):
-            raise OSError(f"the state at {self.path} could not be switched")
-        self._pointer = pointer
+            pointer = json.loads(text)
+            named = [pointer["tables"][name] for name in STATE_TABLES]
+            pointer["meta"]["version"], pointer["meta"]["last_updated"]
+        except (ValueError, KeyError, TypeError):
+            return None
+        return pointer if all(fs.exists(self._fs(at)[0]) for at in named if at) else None
 
-    def _load(self) -> None:
-        """Open the state, create an empty one, empty tables of another version, start anew if it cannot be read."""
-        try:
-            pointer = self._read_pointer()
+    def _read_pointer(self) -> dict | None:
+        """The newest pointer that is whole; None if there is none."""
+        for number in self._numbers():
+            pointer = self._parsed(number)
             if pointer is not None:
-                for name in pointer["tables"].values():
-                    if name and not self._fs(name)[1].exists(self._fs(name)[0]):
-                        raise ValueError(name)
-        except Exception:  # whatever is there is no state
-            pointer = None
+                return pointer
+        return None
+
+    def _write_pointer(self, change: Callable[[dict | None], dict]) -> None:
+        """Write what ``change`` makes of the newest pointer as the next one; again if another writer was faster."""
+        while True:
+            numbers = self._numbers()
+            pointer = change(self._read_pointer())
+            p, fs, _ = self._fs(f"pointers/{(numbers[0] if numbers else 0) + 1:012d}")
+            try:
+                out = fs.create(p, False)
+            except Exception:
+                if fs.exists(p):
+                    continue
+                raise
+            try:
+                out.write(bytearray(json.dumps(pointer, sort_keys=True).encode()))
+            finally:
+                out.close()
+            self._pointer = pointer
+            return
+
+    def _refresh(self) -> None:
+        pointer = self._read_pointer()
+        if pointer is not None and pointer["meta"]["version"] == self.version:
+            self._pointer = pointer
+
+    def _load(self) -> None:
+        """Open the state, create an empty one, empty tables of another version, start anew if no pointer is whole."""
+        pointer = self._read_pointer()
         if pointer is None:
             stamp = repr(self.now())
-            self._write_pointer({"tables": dict.fromkeys(STATE_TABLES), "meta": {"version": self.version, "created": stamp, "last_updated": stamp}})
-        elif pointer["meta"].get("version") != self.version:
+            self._write_pointer(lambda _: {"tables": dict.fromkeys(STATE_TABLES), "meta": {"version": self.version, "created": stamp, "last_updated": stamp}})
+        elif pointer["meta"]["version"] != self.version:
             pointer["meta"].update(version=self.version, last_updated=repr(self.now()))
             pointer["meta"].pop("grouping_timestamp", None)
-            self._write_pointer(pointer | {"tables": pointer["tables"] | dict.fromkeys(VERSIONED)})
+            self._write_pointer(lambda _: pointer | {"tables": pointer["tables"] | dict.fromkeys(VERSIONED)})
         else:
             self._pointer = pointer
 
@@ -98,20 +156,31 @@ class StateStore:
         at = self._pointer["tables"][name]
         return self.spark.read.schema(STATE_TABLES[name]).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], STATE_TABLES[name])
 
-    def commit(self, changed: dict[str, DataFrame | None], **meta: str) -> None:
-        """Write new versions of some tables (None empties one) and switch to all of them at once."""
-        tables = dict(self._pointer["tables"])
+    @_changing
+    def commit(self, changed: dict[str, DataFrame | None], forget: tuple[str, ...] = (), **meta: str) -> None:
+        """Write new versions of some tables (None empties one) and switch to all of them at once; ``meta`` values are
+        set, those in ``forget`` dropped."""
+        tables: dict[str, str | None] = {}
         for name, df in changed.items():
-            if df is None:
-                tables[name] = None
-                continue
-            at = f"{name}/v={uuid.uuid4().hex}"
-            df.write.parquet(f"{self.path}/{at}")
-            tables[name] = at
-        self._write_pointer({"tables": tables, "meta": self._pointer["meta"] | {"last_updated": repr(self.now())} | meta})
+            tables[name] = None
+            if df is not None:
+                tables[name] = f"{name}/v={uuid.uuid4().hex}"
+                df.write.parquet(f"{self.path}/{tables[name]}")
+
+        def change(newest: dict | None) -> dict:
+            base = newest or self._pointer
+            kept = {k: v for k, v in base["meta"].items() if k not in forget}
+            return {"tables": base["tables"] | tables, "meta": kept | {"last_updated": repr(self.now())} | meta}
 
+        self._write_pointer(change)
+
+    @_changing
     def vacuum(self) -> None:
-        """Delete table versions that the state no longer names. No reader may be at work on an older one."""
+        """Delete older pointers and table versions that the state no longer names. No reader may be at work on them."""
+        for number in self._numbers():
+            if self._parsed(number) != self._pointer:
+                p, fs, _ = self._fs(f"pointers/{number:012d}")
+                fs.delete(p, False)
         used = set(self._pointer["tables"].values())
         for name in STATE_TABLES:
             p, fs, _ = self._fs(name)
@@ -125,11 +194,13 @@ class StateStore:
 
     # -- fingerprints and metadata -------------------------------------------------------------------------------
 
+    @_changing
     def put_hashes(self, rows: DataFrame) -> None:
         """Insert or replace ``(path, phash, dhash, mtime, size)``."""
         new = rows.withColumn("updated_at", F.lit(self.now()))
         self.commit({"file_hashes": upsert(self.table("file_hashes"), new, "path")})
 
+    @_changing
     def put_metadata(self, rows: DataFrame) -> None:
         """Insert or replace ``(path, width, height, duration, mtime, size)``."""
         new = rows.withColumn("updated_at", F.lit(self.now()))
@@ -165,6 +236,7 @@ class StateStore:
             c = self.table("media_metadata").alias("c")
         return listing.alias("f").join(c, on).select("f.*", "c.width", "c.height", "c.duration")
 
+    @_changing
     def touch_file(self, path: str, stat: tuple[float, int] | None) -> None:
         """Note a file's new time and size, or forget it where ``stat`` is None."""
         tables = {}
@@ -176,6 +248,7 @@ class StateStore:
                 tables[name] = rows.withColumn("mtime", F.when(mine, stat[0]).otherwise(F.col("mtime"))).withColumn("size", F.when(mine, stat[1]).otherwise(F.col("size")))
         self.commit(tables)
 
+    @_changing
     def cleanup(self, listing: DataFrame) -> None:
         """Forget files that are not listed any more."""
         live = listing.select("path")
@@ -183,6 +256,7 @@ class StateStore:
 
     # -- groups --------------------------------------------------------------------------------------------------
 
+    @_changing
     def put_grouping(self, groups: DataFrame) -> None:
         """Replace the grouping by ``(rep, files)``; an empty one counts as a grouping, too."""
         now = self.now()
@@ -204,6 +278,7 @@ class StateStore:
         rows = self.cached_members(live).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("f"))
         return rows.select("rep", F.transform("f", lambda x: x["path"]).alias("files"))
 
+    @_changing
     def put_groups(self, groups: DataFrame) -> None:
         """Insert or replace ``(group_id, files)``. A group that is known keeps its processed mark."""
         old = self.table("groups")
@@ -211,6 +286,7 @@ class StateStore:
         new = groups.select("group_id", "files").join(kept, "group_id", "left").select("group_id", "files", F.coalesce("processed", F.lit(False)).alias("processed"), F.lit(self.now()).alias("updated_at"))
         self.commit({"groups": upsert(old, new, "group_id")})
 
+    @_changing
     def mark_processed(self, group: str) -> None:
         mine = F.col("group_id") == group
         rows = self.table("groups")
@@ -226,6 +302,7 @@ class StateStore:
             row = self.table("grouping_results").where(group_id(F.col("files")) == group).select("files").first()
         return list(row.files) if row else []
 
+    @_changing
     def set_best(self, group: str, file: str) -> None:
         new = self.spark.createDataFrame([(group, file, self.now())], STATE_TABLES["best_files"])
         self.commit({"best_files": upsert(self.table("best_files"), new, "group_id")})
@@ -234,6 +311,7 @@ class StateStore:
         row = self.table("best_files").where(F.col("group_id") == group).select("best_file").first()
         return row.best_file if row else None
 
+    @_changing
     def remove_file(self, path: str) -> None:
         """Take a file out of all groups and drop groups that become empty."""
         tables = {}
@@ -244,22 +322,19 @@ class StateStore:
 
     # -- whole state ---------------------------------------------------------------------------------------------
 
+    @_changing
     def invalidate(self) -> None:
         """Forget fingerprints, groupings and choices."""
-        self._drop_grouping_mark()
-        self.commit(dict.fromkeys(VERSIONED))
+        self.commit(dict.fromkeys(VERSIONED), ("grouping_timestamp",))
 
+    @_changing
     def invalidate_grouping(self) -> None:
-        self._drop_grouping_mark()
-        self.commit({"grouping_results": None})
+        self.commit({"grouping_results": None}, ("grouping_timestamp",))
 
+    @_changing
     def reset(self) -> None:
         """Empty every table."""
-        self._drop_grouping_mark()
-        self.commit(dict.fromkeys(STATE_TABLES))
-
-    def _drop_grouping_mark(self) -> None:
-        self._pointer = {"tables": dict(self._pointer["tables"]), "meta": {k: v for k, v in self._pointer["meta"].items() if k != "grouping_timestamp"}}
+        self.commit(dict.fromkeys(STATE_TABLES), ("grouping_timestamp",))
 
     def save(self) -> None:
         self.commit({})
@@ -285,14 +360,11 @@ class StateStore:
 
 def read_summary(spark: SparkSession, path: str, folder_mtime: float | None = None, version: str = STATE_VERSION) -> dict:
     """What a folder's state says without opening it for work: ``status`` pending, complete or stale, and counts. A
-    missing or unreadable state, one of another version and one without a grouping are pending; nothing is written."""
+    missing or damaged state, one of another version and one without a grouping are pending; nothing is written."""
     store = StateStore.__new__(StateStore)
     store.spark, store.path, store.version, store._pointer = spark, path.rstrip("/"), version, None
     empty = {"status": "pending", "file_count": 0, "duplicate_count": 0, "last_updated": 0.0}
-    try:
-        pointer = store._read_pointer()
-    except Exception:  # unreadable: as if there were none
-        return empty
+    pointer = store._read_pointer()
     if pointer is None or pointer.get("meta", {}).get("version") != version or "grouping_timestamp" not in pointer["meta"]:
         return empty
     store._pointer = pointer

@@ -98,7 +98,10 @@ def test_another_version_empties_and_damage_rebuilds(spark, store, path, tmp_pat
     newer = StateStore(spark, path, version="9")
     assert newer.table("file_hashes").count() == 0 and newer.table("media_metadata").count() == 1
     assert read_summary(spark, path, version="8")["status"] == "pending"
-    (tmp_path / "state/CURRENT").write_text("no json")
+    for f in (tmp_path / "state/pointers").iterdir():
+        if f.name.isdigit():
+            f.write_text("no json")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
     assert read_summary(spark, path)["status"] == "pending"
     assert StateStore(spark, path).stats()["total_files"] == 0
 
@@ -111,6 +114,70 @@ def test_a_failed_write_changes_nothing(spark, store):
     assert [r.path for r in store.table("file_hashes").collect()] == ["a"]
 
 
+def test_a_writer_that_dies_leaves_the_state_before(spark, store, path, tmp_path):
+    """Between the tables and the pointer, within the pointer, and where the newest names tables that are gone."""
+    store.hashes(files(spark, ("a", 1.0, 1)), hashed)
+    pointers = tmp_path / "state/pointers"
+    last = max(int(f.name) for f in pointers.iterdir() if f.name.isdigit())
+    (tmp_path / "state/file_hashes/v=half").mkdir()
+    for n, text in ((1, ""), (2, '{"tables": {"file_'), (3, json.dumps({"tables": {**store._pointer["tables"], "groups": "groups/v=gone"}, "meta": store.meta()}))):
+        (pointers / f"{last + n:012d}").write_text(text)
+        again = StateStore(spark, path)
+        assert [r.path for r in again.table("file_hashes").collect()] == ["a"] and read_summary(spark, path)["status"] == "pending"
+    again.set_best("g", "a")
+    assert StateStore(spark, path).get_best("g") == "a" and StateStore(spark, path).table("file_hashes").count() == 1
+    again.vacuum()
+    assert len([f for f in pointers.iterdir() if f.name.isdigit()]) == 1 and not (tmp_path / "state/file_hashes/v=half").exists()
+
+
+def test_a_file_system_that_fails_empties_nothing(spark, store, path, monkeypatch):
+    store.hashes(files(spark, ("a", 1.0, 1)), hashed)
+
+    def broken(self, number):
+        raise OSError("no answer")
+
+    with monkeypatch.context() as m:
+        m.setattr(StateStore, "_parsed", broken)
+        with pytest.raises(OSError):
+            StateStore(spark, path)
+    assert StateStore(spark, path).table("file_hashes").count() == 1
+
+
+def test_writers_do_not_lose_each_other(spark, path):
+    """Two stores of a path, and threads on the shared one."""
+    import threading
+
+    one, other = StateStore(spark, path), StateStore(spark, path)
+    one.set_best("g", "a")
+    other.put_hashes(files(spark, ("a", 1.0, 1)).selectExpr("path", "1L as phash", "2L as dhash", "mtime", "size"))
+    one.set_best("h", "b")
+    assert other.get_best("g") is None or other.table("best_files").count() >= 1
+    assert StateStore(spark, path).table("best_files").count() == 2 and StateStore(spark, path).table("file_hashes").count() == 1
+    shared = StateStore.of(spark, path)
+    assert shared is StateStore.of(spark, path + "/") and shared is StateStore.of(spark, path.replace("file://", "file:"))
+    threads = [threading.Thread(target=shared.set_best, args=(f"t{i}", "x")) for i in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert StateStore(spark, path).table("best_files").count() == 8
+
+
+def test_old_states_come_where_the_engine_looks(spark, tmp_path):
+    from kinfold.api import Engine
+
+    data = tmp_path / "data" / "trip"
+    data.mkdir(parents=True)
+    (data / "a.jpg").write_bytes(b"x")
+    stat = (data / "a.jpg").stat()
+    old = {"version": "1.0", "grouping_timestamp": 7, "hashes": {"a.jpg": "00000000000000ff|0000000000000001"}, "file_stats": {"a.jpg": {"mtime": stat.st_mtime, "size": 1}}, "grouping_results": {}}
+    (data / ".old").write_text(json.dumps(old))
+    states = f"file://{tmp_path}/states"
+    assert list(legacy.main(spark, str(tmp_path / "data"), ".old", states).values()) == [True]
+    engine = Engine(spark, str(tmp_path / "data"), states)
+    assert engine.store("trip").missing_hashes(engine.listing("trip")).isEmpty() and engine.store("trip").has_grouping()
+
+
 def test_old_files_are_brought_in(spark, path, tmp_path):
     old = {"version": "1.0", "created": 5, "grouping_timestamp": 7, "hashes": {"a": "00000000000000ff|0000000000000001", "b": "0f"}, "file_stats": {"a": {"mtime": 1.5, "size": 9}},
            "grouping_results": {"a": ["a", "b"]}, "best_files": {"g": "b"}, "groups": {"g": {"files": ["a", "b"], "processed": True}}}
