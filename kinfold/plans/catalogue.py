@@ -414,3 +414,9 @@ def scan_queue(spark, d):
 @query
 def scheduler_status(spark, d):
     return scheduler.status_row(_states(spark, d), 0.0, 30.0)
+
+
+from kinfold.plans import stores  # noqa: E402  it uses the relations above
+
+QUERIES.update(stores.QUERIES)
+ORACLE_SQL.update(stores.SQL)
