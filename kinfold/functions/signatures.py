@@ -2,50 +2,57 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kinfold.runtime import spread
 
 #: Words of a text: runs of other than ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
-#: Bits of a lane of the packed counters, and positions that are counted before lanes are unpacked.
-LANE, PACKED = 21, 20
+#: Words whose bits are counted at once.
+COUNTED = 65_536
 
 
-def token_hash(token: Column) -> Column:
-    """The first 64 bits of a token's md5, signed."""
-    return F.conv(F.substring(F.md5(token.cast("binary")), 1, 16), 16, -10).cast("long")
-
-
-def _simhash(tokens: DataFrame, key: str, name: str) -> DataFrame:
-    """``(key, name)`` from ``(key, pos, h)``: the bits that over half of a key's hashes have.
-
-    Three bit counters share a long, so that a row costs 22 additions and not 64; a lane holds the counts of 2^20
-    positions, and further positions are added after unpacking.
-    """
-    one = 1 | 1 << LANE | 1 << 2 * LANE
-    packed = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(one))).alias(f"c{i}") for i in range(LANE)]
-    sums = tokens.groupBy(key, F.shiftright("pos", PACKED).alias("block")).agg(*packed, F.sum(F.shiftrightunsigned("h", 63)).alias("c63"), F.count("*").alias("n"))
-    lane = lambda i: F.col("c63") if i == 63 else F.shiftrightunsigned(f"c{i % LANE}", i // LANE * LANE).bitwiseAND(F.lit((1 << LANE) - 1))
-    counts = sums.groupBy(key).agg(F.sum("n").alias("n"), *[F.sum(lane(i)).alias(f"b{i}") for i in range(64)])
-    bits = [F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i)).otherwise(F.lit(0)) for i in range(64)]
-    return counts.select(key, reduce(lambda a, b: a.bitwiseOR(b), bits).alias(name))
+def _majority(digests: list[bytes]) -> int:
+    """SimHash of 64-bit numbers given as eight bytes, the highest first: the bits that over half of them have, signed."""
+    counts = np.zeros(64, np.int64)
+    for s in range(0, len(digests), COUNTED):
+        some = np.frombuffer(b"".join(digests[s : s + COUNTED]), ">u8").astype("<u8")
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(digests), bitorder="little").view("<i8")[0])
 
 
 def text_signatures(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, phash, dhash)``: SimHash of the lower-cased words, and of adjacent word pairs (0 for a single word).
+    """``(key, phash, dhash)``: SimHash of the lower-cased words, and of adjacent word pairs (0 for a single word), by the
+    first 64 bits of their md5.
 
-    Keys must be unique. A text without words, null ones among them, has null signatures, as a file that cannot be read.
+    A text without words, null ones among them, has null signatures, as a file that cannot be read. Rows are worked on
+    one by one, so nothing is shuffled but a small scan over the cores.
     """
-    words = spread(texts.select(key, text)).select(key, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0)).alias("w"))
-    one = words.select(key, F.posexplode("w").alias("pos", "t")).select(key, "pos", token_hash(F.col("t")).alias("h"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    two = words.where(F.size("w") > 1).select(key, F.posexplode(pairs).alias("pos", "t")).select(key, "pos", token_hash(F.col("t")).alias("h"))
-    both = texts.select(key).join(_simhash(one, key, "phash"), key, "left").join(_simhash(two, key, "dhash"), key, "left")
-    return both.select(key, "phash", F.when(F.col("phash").isNotNull(), F.coalesce("dhash", F.lit(0).cast("long"))).alias("dhash"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            known: dict[bytes, bytes] = {}
+            found: list[tuple[int | None, int | None]] = []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                words = (t or b"").split()
+                for w in words:
+                    if w not in known:
+                        known[w] = md5(w).digest()[:8]
+                one = _majority([known[w] for w in words]) if words else None
+                two = _majority([md5(x + b" " + y).digest()[:8] for x, y in pairwise(words)]) if len(words) > 1 else 0
+                found.append((one, two if words else None))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], [key, "phash", "dhash"])
+
+    schema = StructType([texts.schema[key], StructField("phash", LongType()), StructField("dhash", LongType())])
+    return spread(texts.select(key, F.lower(F.col(text)).alias("text"))).mapInArrow(run, schema)
 
 
 def vector_signature(vector: Column) -> tuple[Column, Column]:

@@ -127,14 +127,25 @@ def similar_pairs(signatures: DataFrame, t: int = THRESHOLD, path: str = "path",
 
 def nearest(new: DataFrame, known: DataFrame, t: int = THRESHOLD) -> DataFrame:
     """For each row of ``new(path, kind, phash, dhash)`` the nearest of ``known`` within ``t`` bits other than itself,
-    the smaller path on ties: ``(path, near, distance)``. Rows of ``known`` with a column ``before`` set only count for
-    paths above their own."""
+    the smaller path on ties: ``(path, near, distance)``. Rows of ``known`` with a column ``late`` set only count for
+    paths above their own.
+
+    Distinct signatures are joined, and of the assets of a known one only those that can be nearest count: the two
+    smallest paths, as one may be the row itself, and the smallest late one. So n equal assets make n rows.
+    """
     if t > WIDEST:
         raise ValueError(f"nearest needs a threshold of at most {WIDEST}")
-    on = ["kind", "pf", "pv", "df", "dv"]
-    a = _filed(new.select("path", "kind", "phash", "dhash"), t, False).select(*on, "path", F.col("phash").alias("a_phash"), F.col("dhash").alias("a_dhash"))
+    sig, on = ["kind", "phash", "dhash"], ["kind", "pf", "pv", "df", "dv"]
     late = F.col("late") if "late" in known.columns else F.lit(False)
-    b = _filed(known.select(F.col("path").alias("near"), late.alias("late"), "kind", "phash", "dhash"), t, False).select(*on, "near", "late", F.col("phash").alias("b_phash"), F.col("dhash").alias("b_dhash"))
+    rows = known.select("path", *sig, late.alias("late"))
+    least = rows.groupBy(*sig).agg(F.min(F.when(~F.col("late"), F.col("path"))).alias("low"), F.min(F.when(F.col("late"), F.col("path"))).alias("late"))
+    after = rows.where("not late").drop("late").join(least, sig).where("path > low").groupBy(*sig).agg(F.min("path").alias("after"))
+    least = least.join(after, sig, "left")
+    a = _filed(new.select(*sig).distinct(), t, False).select(*on, F.col("phash").alias("a_phash"), F.col("dhash").alias("a_dhash"))
+    b = _filed(least, t, False).select(*on, "low", "after", "late", F.col("phash").alias("b_phash"), F.col("dhash").alias("b_dhash"))
     apart = distance(*[F.col(c) for c in ("a_phash", "a_dhash", "b_phash", "b_dhash")])
-    pairs = a.join(b, on).where((F.col("path") != F.col("near")) & (~F.col("late") | (F.col("near") < F.col("path"))) & (apart <= t))
-    return pairs.groupBy("path").agg(F.min(F.struct(apart.cast("int").alias("distance"), "near")).alias("m")).select("path", "m.near", "m.distance")
+    once = (_first_equal("a_phash", "b_phash", t) == F.col("pf")) & (_first_equal("a_dhash", "b_dhash", t) == F.col("df"))
+    pairs = a.join(b, on).where((apart <= t) & once).select("kind", F.col("a_phash").alias("phash"), F.col("a_dhash").alias("dhash"), "low", "after", "late", apart.cast("int").alias("distance"))
+    near = F.least(F.when(F.col("low") != F.col("path"), F.col("low")).otherwise(F.col("after")), F.when(F.col("late") < F.col("path"), F.col("late")))
+    found = new.select("path", *sig).join(pairs, sig).withColumn("near", near).where("near is not null")
+    return found.groupBy("path").agg(F.min(F.struct("distance", "near")).alias("m")).select("path", "m.near", "m.distance")

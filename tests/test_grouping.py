@@ -160,3 +160,17 @@ def test_best_video(spark):
     df = spark.createDataFrame(rows, "rep string, path string, width int, height int, size long, duration double")
     assert selection.ranked(df, video=F.lit(True)).where("is_best").first().path == "c"
     assert selection.ranked(df).where("is_best").first().path == "a"
+
+
+def test_equal_assets_attach_in_linear_time(spark):
+    """20 000 equal assets, half of them new, and a few near ones: as many rows as assets, not as pairs."""
+    from kinfold.operators import simjoin
+    from kinfold.runtime import materialize
+
+    same = spark.range(20_000).selectExpr("id as path", "'x' as kind", "5L as phash", "9L as dhash")
+    near = spark.range(20_000, 20_010).selectExpr("id as path", "'x' as kind", "7L as phash", "9L as dhash")
+    sigs = materialize(same.unionAll(near))
+    got = {r.path: (r.near, r.distance) for r in simjoin.nearest(sigs, sigs).collect()}
+    assert got[0] == (1, 0) and all(got[i] == (0, 0) for i in range(1, 20_000)) and got[20_000] == (20_001, 0) and got[20_005] == (20_000, 0)
+    out = grouping.incremental(sigs, sigs.where("path < 2").selectExpr("0L as rep", "path"), sigs.where("path >= 2").select("path")).collect()
+    assert len(out) == 20_010 and {r.rep for r in out} == {0}
