@@ -37,6 +37,8 @@ THRESHOLD = 0.7
 PART = 1 << 18
 #: Features that a counting task holds before it sums them, and texts that are scored together.
 HELD, TOGETHER = 2_000_000, 1_000
+#: Features of rows that a gradient step holds at a time.
+STRETCH = 500_000
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
@@ -123,22 +125,32 @@ def select_features(counts: DataFrame, pos: int, neg: int, min_g: float = MIN_G,
     return bucket, np.log((seen + 1) / (pos + 2)) - np.log((other + 1) / (neg + 2))
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def logistic(lens: np.ndarray, cols: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on features scaled by ``ratio``, classes weighing alike, by accelerated gradient steps.
 
-    ``rows`` and ``cols`` are the ones of the feature matrix. Returns the weight of each feature's presence and the
-    intercept."""
+    ``cols`` are the features of each row in turn, ``lens`` how many a row has; they are worked on in stretches, so that
+    nothing else as large is made of them. Returns the weight of each feature's presence and the intercept."""
     n, k = len(y), len(ratio)
-    x = ratio[cols]
+    ends = np.cumsum(lens)
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, (ends[cuts[-1] - 1] if cuts[-1] else 0) + STRETCH))))
+    parts = [(a, min(b, n), int(ends[a - 1]) if a else 0, int(ends[min(b, n) - 1])) for a, b in zip(cuts, cuts[1:], strict=False)]
+    row_of = lambda a, b: np.repeat(np.arange(b - a), lens[a:b])
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    reach = np.bincount(rows, x * x, n) + 1  # squared norm of each row
+    reach = np.concatenate([np.bincount(row_of(a, b), (ratio**2)[cols[s:e]], b - a) for a, b, s, e in parts]) + 1  # squared norm of each row
     rate = 1 / (0.25 * float((weight * reach).sum()) + l2 / n)
     w, v, c, u = np.zeros(k), np.zeros(k), 0.0, 0.0
     for i in range(steps):
-        z = np.bincount(rows, x * v[cols], n) + u
-        d = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        nw = v - rate * (np.bincount(cols, x * d[rows], k) + l2 / n * 1e-2 * v)
-        nc = u - rate * d.sum()
+        shift, slope, scaled = 0.0, np.zeros(k), ratio * v
+        for a, b, s, e in parts:
+            rows, own = row_of(a, b), cols[s:e]
+            z = np.bincount(rows, scaled[own], b - a) + u
+            d = weight[a:b] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[a:b])
+            slope += np.bincount(own, d[rows], k)
+            shift += d.sum()
+        nw = v - rate * (ratio * slope + l2 / n * 1e-2 * v)
+        nc = u - rate * shift
         m = i / (i + 3)
         v, u, w, c = nw + m * (nw - w), nc + m * (nc - c), nw, nc
     return w * ratio, float(c)
@@ -165,7 +177,9 @@ def fit(labelled: DataFrame, min_g: float = MIN_G, features: int = FEATURES) ->
     matrix = rows.mapInArrow(run, "toxic int, features array<int>").toArrow()
     lists = matrix.column("features").combine_chunks()
     n = np.asarray(lists.value_lengths())
-    weights, intercept = logistic(np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy().astype(np.int64), matrix.column("toxic").to_numpy(), ratio)
+    weights, intercept = logistic(n, lists.flatten().to_numpy(), matrix.column("toxic").to_numpy(), ratio)
+    del matrix, lists
+    release()
     return Model(buckets, weights, intercept)
 
 
