@@ -290,17 +290,15 @@ class Search:
         """From the last state of the incumbent to the first, dive with another filling; again while that gains."""
         before = self.bins + 1
         while self.bound < self.bins < before and self.dives > 0:
-            before = self.bins
-            state, bins, done, trail = have.copy(), 0, [], []
-            for take, times in self.best:
-                trail.append((state, bins, len(done)))
-                state = state - times * np.bincount(take, minlength=len(state))
-                bins += times
-                done.append((take, times))
-            for s, b, n in reversed(trail):
+            before, fills = self.bins, self.best
+            state, bins = np.zeros_like(have), self.bins
+            for i in range(len(fills) - 1, -1, -1):
+                take, times = fills[i]
+                state = state + times * np.bincount(take, minlength=len(state))
+                bins -= times
                 for skip in (1, 2):
                     if self.bins > self.bound and self.dives > 0:
-                        self._dive(s, done[:n], b, skip)
+                        self._dive(state, fills[:i], bins, skip)
 
     def _complete(self, have: np.ndarray, target: int) -> list[Fill] | None:
         """A packing into ``target`` bins, or None if there is none: depth first, all undominated fillings."""
