@@ -7,13 +7,16 @@ with the first path segment, its host, its domain. The most specific rule with a
 allow beats block.
 
 Intervals are cut at day ends, so that captures and intervals meet on rule and day and a range comparison is left for
-the few intervals of that day. Intervals of a rule do not overlap: each join finds one at most and keeps the captures'
+the few intervals of that day. Only the days on which a list entry or a capture names the rule get any, whatever lies
+between them. Intervals of a rule do not overlap: each join finds one at most and keeps the captures'
 rows. Captures of a hot host are many rows of one key against few intervals; adaptive execution splits such a key or
 broadcasts the intervals where they are small.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,30 +39,31 @@ def rules_of(url: str = "url") -> dict[str, Column]:
     }
 
 
-def intervals(entries: DataFrame, last_day) -> DataFrame:
+def intervals(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(rule, day, since, start, stop, blocks, allows)``: disjoint validity intervals in which a list holds the rule,
-    cut at day ends, up to ``last_day``.
+    cut at day ends, on the days that have entries and on those of ``wanted(rule, day)``, distinct pairs.
 
     ``entries`` is ``(rule, ts, seq, list, action)`` with list block or allow and action add or remove. Entries of one
     time count in the order of ``seq``, the last decides. ``since`` is the seq of the entry that opened the state;
     ``stop`` is null where it lasts to the end of the day. Entries with a null rule or time say nothing.
 
     A day's intervals follow from its own entries and the state it begins with, which follows from one row for each day
-    before: a rule with many entries is worked on day by day in many tasks.
+    before: a rule with many entries is worked on day by day in many tasks. A day without entries has one interval.
     """
     kind = entries.schema["ts"].dataType.simpleString()
-    known = entries.where("rule is not null and ts is not null").withColumn("day", F.to_date("ts")).where(F.col("day") <= F.lit(last_day))
+    known = entries.where("rule is not null and ts is not null").withColumn("day", F.to_date("ts"))
     order = F.struct("ts", "seq")
     adds = lambda name: F.when(F.col("list") == name, F.col("action") == "add")
     last = lambda name: F.max_by(adds(name), F.when(F.col("list") == name, order))
     days = known.groupBy("rule", "day").agg(last("block").alias("b"), last("allow").alias("a"), F.max_by("seq", order).alias("seq"), F.min("ts").alias("first"))
+    asked = wanted.join(known.select("rule").distinct(), "rule", "left_semi").join(days.select("rule", "day"), ["rule", "day"], "left_anti")
+    days = days.unionByName(asked, allowMissingColumns=True)
     by = Window.partitionBy("rule").orderBy("day")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     no = F.lit(False)
     days = materialize(days.select(
-        "rule", "day", "seq", "first", F.lead("day").over(by).alias("next"),
-        F.coalesce(F.last("b", ignorenulls=True).over(before), no).alias("b0"), F.coalesce(F.last("a", ignorenulls=True).over(before), no).alias("a0"), F.lag("seq").over(by).alias("seq0"),
-        F.coalesce(F.last("b", ignorenulls=True).over(by), no).alias("b1"), F.coalesce(F.last("a", ignorenulls=True).over(by), no).alias("a1"),
+        "rule", "day", "first",
+        F.coalesce(F.last("b", ignorenulls=True).over(before), no).alias("b0"), F.coalesce(F.last("a", ignorenulls=True).over(before), no).alias("a0"), F.last("seq", ignorenulls=True).over(before).alias("seq0"),
     ), "days")
     own = Window.partitionBy("rule", "day").orderBy("ts", "seq")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
@@ -67,33 +71,28 @@ def intervals(entries: DataFrame, last_day) -> DataFrame:
     inside = known.join(days.select("rule", "day", "b0", "a0"), ["rule", "day"]).select("rule", "day", F.col("seq").alias("since"), F.col("ts").alias("start"), F.lead("ts").over(own).alias("stop"), held("block", "b0").alias("blocks"), held("allow", "a0").alias("allows"))
     midnight = F.col("day").cast(kind)
     opening = days.where("b0 or a0").select("rule", "day", F.col("seq0").alias("since"), midnight.alias("start"), F.col("first").alias("stop"), F.col("b0").alias("blocks"), F.col("a0").alias("allows"))
-    end = F.coalesce(F.date_sub("next", 1), F.lit(last_day))
-    idle = days.where((F.col("b1") | F.col("a1")) & (F.date_add("day", 1) <= end)).withColumn("day", F.explode(F.sequence(F.date_add("day", 1), end)))
-    idle = idle.select("rule", "day", F.col("seq").alias("since"), midnight.alias("start"), F.lit(None).cast(kind).alias("stop"), F.col("b1").alias("blocks"), F.col("a1").alias("allows"))
-    return inside.unionByName(opening).unionByName(idle).where("(blocks or allows) and (stop is null or start < stop)")
+    return inside.unionByName(opening).where("(blocks or allows) and (stop is null or start < stop)")
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetch_ts") -> DataFrame:
     """``captures`` with ``verdict`` (blocked, allowed or unlisted), ``rule`` (what decided) and ``since_entry``.
 
-    A capture without fetch time, URL or host is unlisted. Repeated captures stay. Columns named like the three new
-    ones or ``_url_*`` must not be there already.
+    A capture without fetch time, URL or host is unlisted. Repeated captures stay. Columns named like the three new ones
+    are replaced; others may have any names but those starting with ``_url_``.
     """
-    last_day = captures.agg(F.max(F.to_date(fetched))).first()[0]
+    captures = captures.drop(*(c for c in ("verdict", "rule", "since_entry") if c not in (url, fetched)))
     rows = captures.select("*", *[r.alias(f"_url_{k}") for k, r in rules_of(url).items()], F.to_date(fetched).alias("_url_day"))
-    if last_day is not None:
-        days = materialize(intervals(entries, last_day), "intervals")
-        for k in LEVELS:
-            own = days.select(
-                F.col("rule").alias(f"_url_{k}"), F.col("day").alias("_url_day"), F.col("start").alias("_url_start"), F.col("stop").alias("_url_stop"),
-                F.struct("allows", "rule", "since").alias(f"_url_by_{k}"),
-            )
-            rows, at = rows.alias("c"), F.col(fetched)
-            on = [F.col(f"c._url_{k}") == F.col(f"i._url_{k}"), F.col("c._url_day") == F.col("i._url_day"), F.col("i._url_start") <= at, F.col("i._url_stop").isNull() | (at < F.col("i._url_stop"))]
-            rows = rows.join(own.alias("i"), on, "left").select("c.*", f"i._url_by_{k}")
-        by = F.coalesce(*[F.col(f"_url_by_{k}") for k in LEVELS])
-    else:
-        by = F.lit(None).cast("struct<allows:boolean,rule:string,since:long>")
+    pairs = [rows.select(F.col(f"_url_{k}").alias("rule"), F.col("_url_day").alias("day")).where("rule is not null and day is not null").distinct() for k in LEVELS]
+    days = materialize(intervals(entries, materialize(reduce(DataFrame.unionAll, pairs), "wanted")), "intervals")
+    for k in LEVELS:
+        own = days.select(
+            F.col("rule").alias(f"_url_{k}"), F.col("day").alias("_url_day"), F.col("start").alias("_url_start"), F.col("stop").alias("_url_stop"),
+            F.struct("allows", "rule", "since").alias(f"_url_by_{k}"),
+        )
+        rows, at = rows.alias("c"), F.col(f"`{fetched}`")
+        on = [F.col(f"c._url_{k}") == F.col(f"i._url_{k}"), F.col("c._url_day") == F.col("i._url_day"), F.col("i._url_start") <= at, F.col("i._url_stop").isNull() | (at < F.col("i._url_stop"))]
+        rows = rows.join(own.alias("i"), on, "left").select("c.*", f"i._url_by_{k}")
+    by = F.coalesce(*[F.col(f"_url_by_{k}") for k in LEVELS])
     verdict = F.when(by["rule"].isNull(), "unlisted").when(by["allows"], "allowed").otherwise("blocked")
     out = rows.withColumn("_url_by", by).select(*[F.col(f"`{c}`") for c in captures.columns], verdict.alias("verdict"), F.col("_url_by.rule").alias("rule"), F.col("_url_by.since").alias("since_entry"))
     return out

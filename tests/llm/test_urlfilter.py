@@ -57,13 +57,25 @@ def test_intervals_are_cut_at_day_ends(spark):
     hour = timedelta(hours=1)
     rows = [("r", T0, 1, "block", "add"), ("r", T0, 2, "block", "remove"), ("r", T0 + 50 * hour, 3, "allow", "add"), ("r", T0 + 60 * hour, 4, "block", "add"), ("r", T0 + 120 * hour, 5, "allow", "remove"), ("r", T0 + 999 * hour, 6, "allow", "add")]
     e = spark.createDataFrame(rows, "rule string, ts timestamp_ntz, seq long, list string, action string")
-    got = [(r.day.day, r.since, (r.start - T0) / hour, None if r.stop is None else (r.stop - T0) / hour, r.blocks, r.allows) for r in urlfilter.intervals(e, (T0 + 150 * hour).date()).orderBy("start").collect()]
+    wanted = spark.createDataFrame([("r", (T0 + timedelta(days=d)).date()) for d in (0, 2, 4, 5, 90)] + [("s", T0.date())], "rule string, day date")
+    got = [((r.day - T0.date()).days, r.since, (r.start - T0) / hour, None if r.stop is None else (r.stop - T0) / hour, r.blocks, r.allows) for r in urlfilter.intervals(e, wanted).orderBy("start").collect()]
     assert got == [
-        (3, 3, 50, 60, False, True), (3, 4, 60, None, True, True), (4, 4, 72, None, True, True), (5, 4, 96, None, True, True),
-        (6, 5, 120, None, True, False), (7, 5, 144, None, True, False),
+        (2, 3, 50, 60, False, True), (2, 4, 60, None, True, True), (4, 4, 96, None, True, True), (5, 5, 120, None, True, False),
+        (41, 5, 984, 999, True, False), (41, 6, 999, None, True, True), (90, 6, 2160, None, True, True),
     ]
 
 
+def test_far_days_make_few_intervals(spark):
+    """An entry of the year 1 and a capture of 9999: one day's interval for each day that is asked for."""
+    e = spark.createDataFrame([("host:a.b.c", datetime(1, 1, 2), 1, "block", "add")], "rule string, ts timestamp_ntz, seq long, list string, action string")
+    c = spark.createDataFrame([(1, "http://a.b.c/x", datetime(9999, 12, 31, 5), "old"), (2, "http://a.b.c/x", datetime(2024, 1, 1), "old")], "id long, url string, fetch_ts timestamp_ntz, verdict string")
+    wanted = spark.createDataFrame([("host:a.b.c", datetime(9999, 12, 31).date())], "rule string, day date")
+    assert urlfilter.intervals(e, wanted).count() == 2
+    out = urlfilter.evaluate(c, e)
+    assert out.columns == ["id", "url", "fetch_ts", "verdict", "rule", "since_entry"]
+    assert [(r.verdict, r.rule, r.since_entry) for r in out.collect()] == [("blocked", "host:a.b.c", 1)] * 2
+
+
 def test_sql_gives_the_same(spark, sf_small):
     con = duckdb.connect()
     for t in ("pages", "events"):
