@@ -66,5 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_temporal_list_join": urlfilter.OP1_SQL,
     "op5_source_mixing": mixing.OP5_SQL,
+    "op6_substring_dedup": substrings.OP6_SQL,
     "op10_exact_top_k": topk.OP10_SQL,
 }

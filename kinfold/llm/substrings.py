@@ -220,3 +220,14 @@ def op6_query(docs: DataFrame) -> DataFrame:
     found = duplicate_spans(docs)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM t),
+s AS (SELECT r, doc_id, pos, word, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h, pos + 49 <= n AS whole FROM p),
+f AS (SELECT h, min(doc_id) AS low FROM s WHERE whole GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT s.r, s.pos, s.word, coalesce(max(CASE WHEN s.whole AND f.low < s.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY s.r ORDER BY s.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM s LEFT JOIN f ON s.h = f.h),
+k AS (SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (r)
+"""

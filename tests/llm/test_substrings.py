@@ -65,3 +65,14 @@ def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 99, 60)
     for n in (1, 2, 3, 7, 39, 60):
         assert (substrings.sliding_min(x, n) == [x[i : i + n].min() for i in range(61 - n)]).all()
+
+
+def test_sql_gives_the_same(spark, sf_small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf_small}/documents.parquet')")
+    want = sorted(con.execute(substrings.OP6_SQL).fetchall())
+    got = substrings.op6_query(spark.read.parquet(f"{sf_small}/documents.parquet"))
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    assert sorted(map(tuple, got.collect())) == want and sum(r[2] for r in want) > 0
