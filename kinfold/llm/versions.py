@@ -7,7 +7,8 @@ cancels what both have; peeling places that hold a single member recovers the di
 more differ than a sketch of this size can give back, both texts are sketched again, four times as large, and so on.
 
 The fingerprint of a text is its sketch at the first size. Likeness is the Jaccard similarity of the two sets, which
-follows from their sizes and the number of recovered differences.
+follows from their sizes and the number of recovered differences. Where the fingerprints give all differences back, the
+likeness is theirs alone; else it comes from the larger sketches, which are made of the texts again and are not put out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from kinfold.llm.common import U64, batch, mix
 
@@ -154,39 +157,65 @@ def edited(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs(key, text)`` dealt by ranges of the key as ``(part, copy, key, text)``, sorted: within a part, the row
-    after each row is its successor, and rows with ``copy`` 1 start with the successor of the part's last row.
+    """``docs(key, text)`` dealt by ranges as ``(part, copy, key, text)``, sorted: within a part, the row after each row is
+    its successor, and a row with ``copy`` 1 at its end is the successor of the part's last row.
 
-    Rows are ordered by key, nulls first, then text; the successor of the last is the first. Ranges are cut at
-    approximate quantiles of the keys and each sends the rows of its first key to the range before it as well. What
-    the driver sees is one key for each range.
+    Rows are ordered by key, nulls first, then by a hash of the text, then by the text; the successor of the last is the
+    first. Ranges are cut at approximate quantiles of the keys; a key that fills several, and null keys, are dealt by the
+    hash. What the driver sees is one key and hash for each range.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be a column of whole numbers")
+    # Flipping the highest bit lets signed order be that of the unsigned hash.
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), mark.alias("mark"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(docs.approxQuantile("key", [i / (4 * n) for i in range(1, 4 * n)], 0.1 / n)))
+    cuts = Counter(docs.approxQuantile("key", [i / (4 * n) for i in range(1, 4 * n)], 0.1 / n))
+    rows = docs.agg(F.count("*").alias("all"), F.count("key").alias("some")).first()
+    nulls = 1 + 4 * n * (rows["all"] - rows["some"]) // max(1, rows["all"])
+    # Parts in order: null keys, keys before the first cut, and for each cut that key itself, if it fills several ranges, and those after it.
+    limits, at = np.array(sorted(cuts), np.float64), nulls + 1
+    own, own_parts, after = [], [], [nulls]
+    for c in limits.tolist():
+        own_parts.append(cuts[c])
+        own.append(at)
+        at += cuts[c] if cuts[c] > 1 else 0
+        after.append(at)
+        at += 1
+    own, own_parts, after = np.array(own, np.int64), np.array(own_parts, np.int64), np.array(after, np.int64)
 
     @F.pandas_udf("int")
-    def part(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.where(keys.isna(), 0, np.searchsorted(np.array(cuts), keys.fillna(-np.inf).to_numpy(), side="right")))
-
-    cut = docs.withColumn("part", part("key"))
-    firsts = cut.groupBy("part").agg(F.min(F.struct(F.col("key").isNotNull().alias("some"), "key")).alias("first")).collect()
-    firsts = sorted((r["part"], r["first"]["key"]) for r in firsts)
-    heads = [(p, k, firsts[i - 1][0]) for i, (p, k) in enumerate(firsts)]
-    heads = F.broadcast(spark.createDataFrame(heads, "part int, first long, before int"))  # a row for each range
-    own = F.struct(F.col("part"), F.lit(0).alias("copy"))
-    also = F.struct(F.col("before").alias("part"), F.lit(1).alias("copy"))
-    sent = cut.join(heads, "part").select(F.explode(F.when(F.col("key").eqNullSafe(F.col("first")), F.array(own, also)).otherwise(F.array(own))).alias("to"), "key", "text")
-    sent = sent.select("to.part", "to.copy", "key", "text").repartition(n, "part")
-    return sent.sortWithinPartitions("part", "copy", F.asc_nulls_first("key"), F.asc_nulls_first("text"))
+    def part(keys: pd.Series, marks: pd.Series) -> pd.Series:
+        share = (marks.to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        dealt = lambda parts: (share * np.asarray(parts, np.uint64) >> np.uint64(32)).astype(np.int64)
+        k = keys.fillna(-np.inf).to_numpy(np.float64)
+        i = np.searchsorted(limits, k, side="right")
+        out = after[i]
+        if len(limits):
+            j = np.maximum(i - 1, 0)
+            hot = (i > 0) & (limits[j] == k) & (own_parts[j] > 1)
+            out = np.where(hot, own[j] + dealt(own_parts[j]), out)
+        return pd.Series(np.where(keys.isna(), dealt(nulls), out).astype(np.int32))
+
+    cut = docs.withColumn("part", part("key", "mark"))
+    firsts = cut.groupBy("part").agg(F.min(F.struct(F.col("key").isNotNull().alias("some"), "key", "mark")).alias("first")).collect()
+    firsts = sorted((r["part"], r["first"]["key"], r["first"]["mark"]) for r in firsts)
+    heads = [(p, k, m, firsts[i - 1][0]) for i, (p, k, m) in enumerate(firsts)]
+    heads = F.broadcast(spark.createDataFrame(heads, "part int, key long, mark long, before int"))  # a row for each range
+    first = (cut["part"] == heads["part"]) & cut["key"].eqNullSafe(heads["key"]) & (cut["mark"] == heads["mark"])
+    copies = cut.join(heads, first).groupBy("before", cut["key"], cut["mark"]).agg(F.min("text").alias("text"))
+    sent = cut.select("part", F.lit(0).alias("copy"), "key", "text", "mark").unionAll(copies.select(F.col("before").alias("part"), F.lit(1).alias("copy"), "key", "text", "mark"))
+    sent = sent.repartition(n, "part").sortWithinPartitions("part", "copy", F.asc_nulls_first("key"), "mark", F.asc_nulls_first("text"))
+    return sent.select("part", "copy", "key", "text")
 
 
 def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document ``(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
 
     The next document follows in the order of ``with_next``; a lone document follows itself. Null texts are empty.
-    Repeated rows are documents of their own; a null key comes first. Other columns are not read.
+    Repeated rows are documents of their own; a null key comes first. Keys that are no whole numbers raise. Other columns
+    are not read.
     """
 
     def finish(rows: list[tuple]) -> pa.RecordBatch:
@@ -210,8 +239,6 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         for b in it:
             for part, copy, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 text = text or ""
-                if copy and (held is None or held[0] != part):
-                    continue  # a further row of the next part's first key
                 row = (part, key, text, cells(text.encode()))
                 if held is not None:
                     ready.append((*held[1:], text, row[3]))

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from kinfold.llm import versions
 from kinfold.llm.common import U64
@@ -27,7 +28,7 @@ def test_sets_are_compared_outright_past_the_last_size(monkeypatch):
 
 
 def brute(rows):
-    rows = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), 42), r[1]))
     out = []
     for i, (k, t) in enumerate(rows):
         f = rows[(i + 1) % len(rows)][1]
@@ -61,3 +62,18 @@ def test_edits_stay_nearer_than_other_documents(spark, sf_small):
     long = got[got.n_chars > 200]
     assert (long.near_edited > long.near_next).mean() > 0.95
     assert long.near_edited.median() > 0.5 and long.near_next.median() < 0.1
+
+
+def test_hot_and_null_keys_are_dealt(spark):
+    """A third of the keys null, a third equal, some rows equal in all: many parts, and the order still holds."""
+    rnd = random.Random(4)
+    text = lambda: " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 4) for _ in range(rnd.randint(0, 12)))
+    rows = [(None, text()) for _ in range(300)] + [(50, text()) for _ in range(300)] + [(i, text()) for i in range(300)] + [(50, "the same text")] * 60 + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sizes = [r["count"] for r in versions.with_next(df).where("copy = 0").groupBy("part").count().collect()]
+    assert max(sizes) < 150 and len(sizes) > 15
+    got = sorted(map(tuple, versions.op8_query(df).collect()), key=str)
+    want = brute(rows)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    with pytest.raises(TypeError):
+        versions.with_next(df.withColumn("doc_id", versions.F.lit("x")))
