@@ -14,9 +14,9 @@ from kinfold.runtime import materialize
 def members(signatures: DataFrame, t: int = THRESHOLD, path: str = "path") -> DataFrame:
     """``(kind, rep, path)``: the members of each group of two or more assets that hang together by steps of at most
     ``t`` bits, ``rep`` the smallest path. Kinds are never mixed, assets without signature are in no group."""
-    nodes = materialize(collapse(signatures, path), "nodes").withColumn("id", F.xxhash64("kind", "phash", "dhash"))
+    nodes = materialize(collapse(signatures, path), "nodes").withColumn("id", F.struct("kind", "phash", "dhash"))
     pairs = signature_pairs(nodes, t)
-    name = lambda side: F.xxhash64("kind", f"{side}_phash", f"{side}_dhash")
+    name = lambda side: F.struct("kind", F.col(f"{side}_phash").alias("phash"), F.col(f"{side}_dhash").alias("dhash"))
     parts = connected_components(pairs.select(name("a").alias("src"), name("b").alias("dst")))
     labelled = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
     groups = labelled.groupBy("part").agg(F.min("first").alias("rep"), F.sum("n").alias("size"), F.count("*").alias("forms")).where("size > 1")

@@ -6,7 +6,6 @@ in a Spark job group of its own, so that it can be cancelled when it takes too l
 
 from __future__ import annotations
 
-import contextlib
 import threading
 import time
 import uuid
@@ -50,6 +49,7 @@ class Scanner:
         self.refresh: set[str] = set()
         self.callbacks: dict[str, Callable] = {}
         self.next_look = 0.0
+        self._errors: dict[str, str] = {}  # of the loops' last rounds, by step
         self._stop = threading.Event()
         self._threads: list[threading.Thread] = []
 
@@ -172,8 +172,11 @@ class Scanner:
         def keep(step: Callable[[], object], pause: float) -> None:
             while not self._stop.is_set():
                 done = False
-                with contextlib.suppress(Exception):
+                try:
                     done = bool(step())
+                    self._errors.pop(step.__name__, None)
+                except Exception as e:  # the next round tries again; ``status`` tells what is wrong
+                    self._errors[step.__name__] = str(e)[:500] or type(e).__name__
                 if not done:
                     self._stop.wait(pause)
 
@@ -260,4 +263,4 @@ class Scanner:
             waiting = sum(f.priority is not None for f in self.state.values())
             left = max(0.0, self.next_look - self.now())
             state = "scanning" if active else "waiting" if waiting else "sleeping" if left and self.running() else "idle"
-            return {"running": self.running(), "state": state, "current_folder": min(active, default=None), "active_scans": len(active), "queue_size": waiting, "seconds_to_next": left}
+            return {"running": self.running(), "state": state, "current_folder": min(active, default=None), "active_scans": len(active), "queue_size": waiting, "seconds_to_next": left, "errors": dict(self._errors)}

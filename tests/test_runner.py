@@ -118,3 +118,21 @@ def test_threads_start_and_stop():
     assert s.running()
     s.stop()
     assert not s.running() and w.scanned == ["a"]
+
+
+def test_errors_of_the_loop_are_told():
+    w = World()
+    w.scanner.poll = 0.02
+    good, w.scanner._folders = w.scanner._folders, lambda: 1 / 0
+    w.scanner.start()
+    try:
+        until = time.time() + 10
+        while not w.scanner.status()["errors"] and time.time() < until:
+            time.sleep(0.02)
+        assert "zero" in w.scanner.status()["errors"]["tick"]
+        w.scanner._folders = good
+        while w.scanner.status()["errors"] and time.time() < until:
+            time.sleep(0.02)
+        assert not w.scanner.status()["errors"]
+    finally:
+        w.scanner.stop()
