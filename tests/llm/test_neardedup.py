@@ -57,6 +57,31 @@ def test_recall_against_brute_force(spark):
     assert all(any(d in p for p in near) for d in dropped)
 
 
+def test_link_recall_with_entries_split(spark, monkeypatch):
+    """Pairs of 0.8 and more that come into one group, with entries whole and with all over 20 documents split."""
+    from functools import partial
+
+    from kinfold.operators.components import connected_components
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(neardedup.F.col("doc_id").alias("_near_id"), "doc_id", "text")
+    sets = {r.doc_id: set(shingle_hashes((r.text or "").encode(), 5)) for r in docs.collect()}
+    by = {}
+    for k, s in sets.items():
+        for h in s:
+            by.setdefault(h, []).append(k)
+    near = {(a, b) for m in by.values() for a in m for b in m if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    made = neardedup.materialize(neardedup.sketches(docs, "doc_id", "text").where("length(words) > 0"))
+    candidate, further = neardedup.candidate_pairs, neardedup.further_pairs
+    for most in (20_000, 20):
+        monkeypatch.setattr(neardedup, "candidate_pairs", partial(candidate, most=most))
+        monkeypatch.setattr(neardedup, "further_pairs", partial(further, most=most))
+        links = neardedup.near_links(made.select("id", "sketch"), docs, "text", 0.8)
+        group = {r.node: r.component for r in connected_components(links, "a", "b").collect()}
+        found = sum(group.get(a, a) == group.get(b, b) for a, b in near)
+        assert found >= 0.95 * len(near), (most, found, len(near))
+        assert all((min(r.a, r.b), max(r.a, r.b)) in near for r in links.collect())
+
+
 def test_nearest():
     r = np.random.default_rng(1)
     f = r.integers(0, 2**63, (300, 1), dtype=np.int64).view(np.uint64)

@@ -58,16 +58,25 @@ def test_one_of_each_group_of_near_copies_stays(steps):
     assert set(after) <= set(before)
 
 
+def entities(text):
+    """What the pattern finds but for bare numbers of which the check digit is wrong."""
+    def card(m):
+        d = [int(c) for c in m][::-1]
+        return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+    return [m for m in regex.findall(pii.ANY, text) if not (m.isdigit() and len(m) > 12) or card(m)]
+
+
 def test_personal_data_is_replaced(steps):
     before, after = steps[2]
     new = {r.doc_id: r for r in after}
     assert len(new) == len(before)
     hit = 0
     for r in before:
-        old, now = regex.findall(pii.ANY, r.text), new[r.doc_id].text
+        old, now = entities(r.text), new[r.doc_id].text
         hit += len(old)
         assert regex.split(pii.ANY, now) == regex.split(pii.ANY, r.text)
-        assert not set(old) & set(regex.findall(pii.ANY, now))
+        assert not set(old) & set(entities(now))
         assert new[r.doc_id].n_chars == (len(now) if old else r.n_chars)
     assert hit > 3
 
