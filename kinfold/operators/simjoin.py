@@ -4,6 +4,9 @@ Within a threshold t, two signatures agree wholly on at least one of t + 1 bit f
 their second. A pair is looked for under the pair of the first field of either hash that it agrees on, and nowhere else:
 an equi-join on (field, field, value, value) that is exact, finds each pair once and needs no deduplication. Signatures
 that many assets share are joined once.
+
+Filed signatures are never broadcast, whatever the session allows: the planner takes them for as small as the table that
+they come from, although each has a row for every pair of fields, 36 at t = 5.
 """
 
 from __future__ import annotations
@@ -66,7 +69,7 @@ def signature_pairs(nodes: DataFrame, t: int = THRESHOLD, phash_only: bool = Fal
     once = _first_equal("a_phash", "b_phash", t) == F.col("pf")
     if not phash_only:
         once &= _first_equal("a_dhash", "b_dhash", t) == F.col("df")
-    joined = a.join(b, on).where(ordered & (apart <= t) & once)
+    joined = a.hint("merge").join(b.hint("merge"), on).where(ordered & (apart <= t) & once)
     return joined.select("kind", "a_phash", "a_dhash", "b_phash", "b_dhash", apart.cast("int").alias("distance"))
 
 
@@ -145,7 +148,7 @@ def nearest(new: DataFrame, known: DataFrame, t: int = THRESHOLD) -> DataFrame:
     b = _filed(least, t, False).select(*on, "low", "after", "late", F.col("phash").alias("b_phash"), F.col("dhash").alias("b_dhash"))
     apart = distance(*[F.col(c) for c in ("a_phash", "a_dhash", "b_phash", "b_dhash")])
     once = (_first_equal("a_phash", "b_phash", t) == F.col("pf")) & (_first_equal("a_dhash", "b_dhash", t) == F.col("df"))
-    pairs = a.join(b, on).where((apart <= t) & once).select("kind", F.col("a_phash").alias("phash"), F.col("a_dhash").alias("dhash"), "low", "after", "late", apart.cast("int").alias("distance"))
+    pairs = a.hint("merge").join(b.hint("merge"), on).where((apart <= t) & once).select("kind", F.col("a_phash").alias("phash"), F.col("a_dhash").alias("dhash"), "low", "after", "late", apart.cast("int").alias("distance"))
     near = F.least(F.when(F.col("low") != F.col("path"), F.col("low")).otherwise(F.col("after")), F.when(F.col("late") < F.col("path"), F.col("late")))
     found = new.select("path", *sig).join(pairs, sig).withColumn("near", near).where("near is not null")
     return found.groupBy("path").agg(F.min(F.struct("distance", "near")).alias("m")).select("path", "m.near", "m.distance")
