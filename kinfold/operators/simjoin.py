@@ -3,7 +3,8 @@
 Within a threshold t, two signatures agree wholly on at least one of t + 1 bit fields of their first hash, and on one of
 their second. A pair is looked for under the pair of the first field of either hash that it agrees on, and nowhere else:
 an equi-join on (field, field, value, value) that is exact, finds each pair once and needs no deduplication. Signatures
-that many assets share are joined once.
+that many assets share are joined once. Where only the first hash counts, it has t + 2 fields, of which two agree, and a
+pair is looked for under the first two that do: one field alone would be too narrow.
 
 Filed signatures are never broadcast, whatever the session allows: the planner takes them for as small as the table that
 they come from, although each has a row for every pair of fields, 36 at t = 5.
@@ -12,6 +13,7 @@ they come from, although each has a row for every pair of fields, 36 at t = 5.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.signatures import distance, hamming
+from kinfold.runtime import materialize, partitions_for
 
 THRESHOLD = 5
 #: Above this threshold fields are too narrow to tell anything; blocks are compared outright.
 WIDEST = 10
 BLOCK = 4096
+#: Paths of a signature that meet as one list.
+LISTED = 512
 
 
 def fields(h: Column, t: int) -> list[Column]:
@@ -39,11 +44,21 @@ def _first_equal(a: str, b: str, t: int) -> Column:
     return out
 
 
+def _first_two_equal(a: str, b: str, t: int) -> Column:
+    x, y = (fields(F.col(c), t + 1) for c in (a, b))
+    out = None
+    for n, (i, j) in enumerate(combinations(range(t + 2), 2)):
+        both = (x[i] == y[i]) & (x[j] == y[j])
+        out = F.when(both, n) if out is None else out.when(both, n)
+    return out
+
+
 def _filed(sigs: DataFrame, t: int, single: bool) -> DataFrame:
-    p = F.posexplode(F.array(*fields(F.col("phash"), t))).alias("pf", "pv")
-    one = sigs.select("*", p)
     if single:
-        return one.withColumn("df", F.lit(0)).withColumn("dv", F.lit(0).cast("long"))
+        f = fields(F.col("phash"), t + 1)
+        two = [F.shiftleft(f[i], 32).bitwiseOR(f[j]) for i, j in combinations(range(t + 2), 2)]
+        return sigs.select("*", F.posexplode(F.array(*two)).alias("pf", "pv")).withColumn("df", F.lit(0)).withColumn("dv", F.lit(0).cast("long"))
+    one = sigs.select("*", F.posexplode(F.array(*fields(F.col("phash"), t))).alias("pf", "pv"))
     return one.select("*", F.posexplode(F.array(*fields(F.col("dhash"), t))).alias("df", "dv"))
 
 
@@ -66,9 +81,10 @@ def signature_pairs(nodes: DataFrame, t: int = THRESHOLD, phash_only: bool = Fal
     a = f.select(*on, F.col("phash").alias("a_phash"), F.col("dhash").alias("a_dhash"))
     b = f.select(*on, F.col("phash").alias("b_phash"), F.col("dhash").alias("b_dhash"))
     ordered = (F.col("a_phash") < F.col("b_phash")) | (F.col("a_phash") == F.col("b_phash")) & (F.col("a_dhash") < F.col("b_dhash"))
-    once = _first_equal("a_phash", "b_phash", t) == F.col("pf")
-    if not phash_only:
-        once &= _first_equal("a_dhash", "b_dhash", t) == F.col("df")
+    if phash_only:
+        once = _first_two_equal("a_phash", "b_phash", t) == F.col("pf")
+    else:
+        once = (_first_equal("a_phash", "b_phash", t) == F.col("pf")) & (_first_equal("a_dhash", "b_dhash", t) == F.col("df"))
     joined = a.hint("merge").join(b.hint("merge"), on).where(ordered & (apart <= t) & once)
     return joined.select("kind", "a_phash", "a_dhash", "b_phash", "b_dhash", apart.cast("int").alias("distance"))
 
@@ -115,17 +131,35 @@ def similar_pairs(signatures: DataFrame, t: int = THRESHOLD, path: str = "path",
     """All pairs of assets within ``t`` bits: ``(a, b, distance)`` with a < b; assets without signature have none.
 
     This lists the pairs inside groups of equal signatures too, which grow with the square of a group; ``grouping``
-    works on distinct signatures and does not need them.
+    works on distinct signatures and does not need them. Distinct signatures are joined; the paths of each travel as lists
+    of about ``LISTED`` and become rows last, dealt by pairs of lists, so that no task lists all pairs of a large group.
     """
+    spark = signatures.sparkSession
     kind = F.col("kind") if "kind" in signatures.columns else F.lit("asset")
-    known = signatures.where("phash is not null and dhash is not null").select(F.col(path).alias("path"), kind.alias("kind"), "phash", "dhash")
+    second = F.lit(0).cast("long") if phash_only else F.col("dhash")
+    known = signatures.where("phash is not null and dhash is not null").select(F.col(path).alias("path"), kind.alias("kind"), "phash", second.alias("dhash"))
     sig = ["kind", "phash", "dhash"]
-    apart = signature_pairs(known.select(*sig).distinct(), t, phash_only)
-    x = known.select(F.col("path").alias("a"), *[F.col(c).alias(f"a_{c}" if c != "kind" else c) for c in sig])
-    y = known.select(F.col("path").alias("b"), *[F.col(c).alias(f"b_{c}" if c != "kind" else c) for c in sig])
-    near = apart.join(x, ["kind", "a_phash", "a_dhash"]).join(y, ["kind", "b_phash", "b_dhash"]).select("a", "b", "distance")
-    equal = known.alias("x").join(known.alias("y"), sig).where("x.path < y.path").select(F.col("x.path").alias("a"), F.col("y.path").alias("b"), F.lit(0).alias("distance"))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").unionByName(equal)
+    counted = materialize(known.groupBy(*sig).agg(F.count("*").alias("n"), F.ceil(F.count("*") / LISTED).alias("parts")), "counted")
+    numbered = known.join(counted.where("parts > 1").select(*sig, "parts"), sig, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("path"), "parts"), F.lit(0).cast("long")))
+    lists = materialize(numbered.groupBy(*sig, "part").agg(F.collect_list("path").alias("paths")), "lists")
+
+    def side(s: str) -> list[Column]:
+        return ["kind", F.col("phash").alias(f"{s}_phash"), F.col("dhash").alias(f"{s}_dhash")]
+
+    upto = F.col("parts") - 1
+    same = counted.where("n > 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), upto)).alias("a_part")).select("*", F.explode(F.sequence("a_part", upto)).alias("b_part"))
+    same = same.select(*side("a"), F.col("phash").alias("b_phash"), F.col("dhash").alias("b_dhash"), F.lit(0).alias("distance"), "a_part", "b_part")
+    apart = signature_pairs(counted, t, phash_only)
+    for s in "ab":
+        large = counted.where("parts > 1").select(*side(s), "parts")
+        apart = apart.join(large, ["kind", f"{s}_phash", f"{s}_dhash"], "left").withColumn(f"{s}_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+    met = apart.unionByName(same).withColumn("own", (F.col("a_phash") == F.col("b_phash")) & (F.col("a_dhash") == F.col("b_dhash")) & (F.col("a_part") == F.col("b_part")))
+    for s in "ab":
+        met = met.join(lists.select(*side(s), F.col("part").alias(f"{s}_part"), F.col("paths").alias(f"{s}_paths")), ["kind", f"{s}_phash", f"{s}_dhash", f"{s}_part"])
+    n = partitions_for(spark, 0)
+    dealt = met.repartition(n, *[f"{s}_{c}" for s in "ab" for c in ("phash", "dhash", "part")])
+    listed = dealt.select("distance", "own", "b_paths", F.explode("a_paths").alias("a")).select("distance", "own", "a", F.explode("b_paths").alias("b"))
+    return listed.where("a < b or a > b and not own").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
 def nearest(new: DataFrame, known: DataFrame, t: int = THRESHOLD) -> DataFrame:

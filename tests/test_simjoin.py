@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinfold.operators import grouping, simjoin
 from kinfold.runtime import materialize
@@ -37,3 +38,13 @@ def test_groups_stay_the_same_without_broadcast(spark, sigs):
             part[a[0]] = min(part[b[0]] for b in SIGS if near(a, b))
     sizes = [list(part.values()).count(part[s[0]]) for s in SIGS]
     assert want == {(part[s[0]], s[0]) for s, n in zip(SIGS, sizes, strict=True) if n > 1}
+
+
+def test_pairs_of_a_large_group_are_listed_by_many_tasks(spark):
+    rows = [(i, "asset", 7, i % 9) for i in range(2000)] + [(5000 + i, "asset", 1 << 50 + i | 7, 1) for i in range(3)] + [(None, "asset", 7, 1)]
+    sigs = materialize(spark.createDataFrame(rows, "path long, kind string, phash long, dhash long"))
+    pairs = materialize(simjoin.similar_pairs(sigs, phash_only=True).withColumn("task", F.spark_partition_id()))
+    n = 2000 * 1999 // 2 + 3 * 2000 + 3
+    assert pairs.count() == pairs.where("a < b").select("a", "b").distinct().count() == n
+    assert {r.distance: r["count"] for r in pairs.groupBy("distance").count().collect()} == {0: 2000 * 1999 // 2, 1: 3 * 2000, 2: 3}
+    assert max(r["count"] for r in pairs.groupBy("task").count().collect()) < n // 2
