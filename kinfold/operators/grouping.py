@@ -13,17 +13,19 @@ from kinfold.runtime import materialize
 
 def members(signatures: DataFrame, t: int = THRESHOLD, path: str = "path") -> DataFrame:
     """``(kind, rep, path)``: the members of each group of two or more assets that hang together by steps of at most
-    ``t`` bits, ``rep`` the smallest path. Kinds are never mixed, assets without signature are in no group."""
+    ``t`` bits, ``rep`` the smallest path. Kinds are never mixed, assets without signature are in no group.
+
+    Nothing is broadcast: nodes, parts and groups grow with the input, and what is broadcast passes through the driver."""
     nodes = materialize(collapse(signatures, path), "nodes").withColumn("id", F.struct("kind", "phash", "dhash"))
     pairs = signature_pairs(nodes, t)
     name = lambda side: F.struct("kind", F.col(f"{side}_phash").alias("phash"), F.col(f"{side}_dhash").alias("dhash"))
     parts = connected_components(pairs.select(name("a").alias("src"), name("b").alias("dst")))
-    labelled = nodes.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    labelled = nodes.join(parts.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("part", F.coalesce("component", "id"))
     groups = labelled.groupBy("part").agg(F.min("first").alias("rep"), F.sum("n").alias("size"), F.count("*").alias("forms")).where("size > 1")
-    of = labelled.join(groups, "part").select("kind", "phash", "dhash", "rep", "forms")
+    of = labelled.join(groups.hint("merge"), "part").select("kind", "phash", "dhash", "rep", "forms")
     kind = F.col("kind") if "kind" in signatures.columns else F.lit("asset")
     rows = signatures.select(F.col(path).alias("path"), kind.alias("kind"), "phash", "dhash")
-    return rows.join(of, ["kind", "phash", "dhash"]).select("kind", "rep", "path", (F.col("forms") == 1).alias("equal"))
+    return rows.join(of.hint("merge"), ["kind", "phash", "dhash"]).select("kind", "rep", "path", (F.col("forms") == 1).alias("equal"))
 
 
 def cold(signatures: DataFrame, t: int = THRESHOLD, path: str = "path") -> DataFrame:

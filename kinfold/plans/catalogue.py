@@ -47,7 +47,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     """Members with dimensions, ``path`` their number, is_best and is_exact."""
     assets = tables.document_assets(_docs(spark, d)).select("doc_id", "width", "height", "size")
-    rows = _members(spark, d).join(assets, "doc_id").withColumn("path", F.col("doc_id"))
+    rows = _members(spark, d).join(assets.hint("merge"), "doc_id").withColumn("path", F.col("doc_id"))
     return selection.with_exact(selection.ranked(rows))
 
 

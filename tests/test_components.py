@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from kinfold.operators import components
 from kinfold.operators.components import connected_components
 
 
@@ -23,3 +26,24 @@ def test_components_equal_union_find(spark):
 
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_joins_of_a_round_are_not_broadcast(spark, monkeypatch):
+    plans, keep = [], components.materialize
+
+    def seen(df, *a):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, *a)
+
+    monkeypatch.setattr(components, "materialize", seen)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
+    assert {r.component for r in connected_components(keep(edges), "src", "dst").collect()} == {0}
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(components, "MAX_ROUNDS", 0)
+    edges = spark.createDataFrame([(0, 1), (0, 2), (7, 3), (2, 0)], "src long, dst long")
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (7, 3)}
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(0, 1), (1, 2)], "src long, dst long"))
