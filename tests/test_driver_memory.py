@@ -5,7 +5,7 @@ import pytest
 from kinfold.operators import components, grouping
 from kinfold.plans import catalogue, stores
 
-QUERIES = ["exact_elimination", "group_ids", "group_labels"]
+QUERIES = ["exact_elimination", "group_ids", "group_labels", "grouping_diff"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
