@@ -346,7 +346,7 @@ def store_stats(spark, d):
 @query
 def folder_summary(spark, d):
     a = tables.document_assets(_docs(spark, d)).select("doc_id", "folder")
-    m = a.join(_members(spark, d), "doc_id", "left")
+    m = a.join(_members(spark, d).hint("merge"), "doc_id", "left")
     return m.groupBy("folder").agg(F.count("*").alias("files"), F.count("rep").alias("grouped"), F.countDistinct("rep").alias("groups"))
 
 
