@@ -5,7 +5,7 @@ import pytest
 from kinfold.operators import components, grouping
 from kinfold.plans import catalogue, stores
 
-QUERIES = ["exact_elimination", "group_ids", "group_labels", "grouping_diff", "kind_groups", "folder_summary", "group_best", "group_kind_counts", "group_members_exact_flag"]
+QUERIES = ["exact_elimination", "group_ids", "group_labels", "grouping_diff", "kind_groups", "folder_summary", "group_best", "group_kind_counts", "group_members_exact_flag", "groups_without_file"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
