@@ -4,8 +4,11 @@ Candidates come from the Gray-order index of ``simhash``. Documents this far apa
 seven, too many for a fixed radius on whole fingerprints. So each document is sketched with ``64 * WORDS`` SimHash bits
 and filed in ``TABLES`` tables under ``BITS`` of them each; within a table entry the index finds, for each document, the
 nearest other one within ``RADIUS`` bits of the whole sketch. That is at most one candidate pair per document and table,
-however many copies an entry holds. Every candidate pair is then decided exactly on the two texts' shingle sets, and the
-components of the accepted pairs are the groups. Texts of equal words are one document from the start.
+however many copies an entry holds. Every such pair is then decided exactly on the two texts' shingle sets. Documents that
+may have further partners come together in families, which hang together by steps within ``RADIUS`` bits in an entry; a
+family's shingle sets travel to tasks in which each two of its documents meet, and what leaves a task are only the accepted
+pairs that unite components. The components of all accepted pairs are the groups. So no table has a row for each pair of a
+family. Texts of equal words are one document from the start.
 
 A pair of similarity 0.8 shares an entry of some table with a probability of about 0.98, one of 0.9 nearly surely. More
 documents want more ``BITS``, so that an entry stays small, and then more ``TABLES``.
@@ -29,12 +32,12 @@ from kinfold.runtime import TEXT_ROWS, materialize, partitions_for, small
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, TABLES, BITS, RADIUS = 4, 36, 14, 64
 #: Documents of a table entry that one task compares; an entry with more is dealt by further bits in the first round, and
-#: in blocks that all meet each other in the later ones.
+#: in blocks that all meet each other afterwards.
 MAX_ENTRY, MORE_BITS = 20_000, 12
-#: How many times as many partners a document has in the next round.
-MORE = 16
-#: Pairs that a task of the later rounds holds at a time, about.
+#: Pairs that a task of ``further_pairs`` holds at a time, about.
 HELD = 1_500_000
+#: A family is dealt in so many blocks, of so many documents at least and at most; more blocks where these would be larger.
+FAMILY_BLOCKS, LEAST_BLOCK, MOST_BLOCK = 32, 32, 1000
 
 
 def table_bits() -> np.ndarray:
@@ -205,6 +208,28 @@ def dealt(filed: DataFrame, large: DataFrame, most: int) -> DataFrame:
     return met.select((F.col("entry") * (shift * shift) + F.col("task")).alias("task"), "id", "sketch", "component")
 
 
+def mixed_entries(b: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """``gathered_entries`` of ``(entry, id, sketch, component)`` in Gray order, of entries with several components only,
+    and their sizes."""
+    entry, ids, sketch, component = gathered_entries(b)
+    by = np.lexsort((*sketch.T, gray_rank(sketch[:, 0]), entry))
+    starts = np.flatnonzero(np.r_[True, np.diff(entry[by]) != 0])
+    sizes = np.diff(np.r_[starts, len(by)])
+    mixed = np.minimum.reduceat(component[by], starts) != np.maximum.reduceat(component[by], starts)
+    by, sizes = by[np.repeat(mixed, sizes)], sizes[mixed]
+    return entry[by], ids[by], sketch[by], component[by], sizes
+
+
+def met_in_entries(nodes: DataFrame, rows: int, most: int) -> DataFrame:
+    """``nodes(id, sketch, component)`` to ``(task, id, sketch, component)``, dealt by task: any two documents of an entry
+    that lie in different components share a task."""
+    filed = file(nodes.select("id", "sketch", "component")).select(F.shiftright("full", MORE_BITS).alias("task"), "id", "sketch", "component")
+    large = large_entries(nodes, table_bits(), most)
+    if not large.isEmpty():
+        filed = dealt(filed.withColumnRenamed("task", "entry"), large, most)
+    return filed.repartition(partitions_for(nodes.sparkSession, rows * TABLES, 200_000), "task")
+
+
 def further_pairs(nodes: DataFrame, rows: int, partners: int, most: int = MAX_ENTRY) -> DataFrame:
     """``nodes(id, sketch, component)`` to distinct ``(a, b)`` with a < b: each node with the ``partners`` nearest of other
     components in its entry in each table; and ``(a, null)`` for a node that has partners left over."""
@@ -213,13 +238,7 @@ def further_pairs(nodes: DataFrame, rows: int, partners: int, most: int = MAX_EN
         b = [x for x in it if x.num_rows]
         if not b:
             return
-        entry, ids, sketch, component = gathered_entries(b)
-        by = np.lexsort((*sketch.T, gray_rank(sketch[:, 0]), entry))
-        starts = np.flatnonzero(np.r_[True, np.diff(entry[by]) != 0])
-        sizes = np.diff(np.r_[starts, len(by)])
-        mixed = np.minimum.reduceat(component[by], starts) != np.maximum.reduceat(component[by], starts)
-        by, sizes = by[np.repeat(mixed, sizes)], sizes[mixed]
-        entry, ids, sketch, component = entry[by], ids[by], sketch[by], component[by]
+        entry, ids, sketch, component, sizes = mixed_entries(b)
         slices = np.cumsum(sizes * np.minimum(sizes, partners)) // HELD
         at = 0
         for n in [int(sizes[slices == s].sum()) for s in np.unique(slices)]:
@@ -229,40 +248,127 @@ def further_pairs(nodes: DataFrame, rows: int, partners: int, most: int = MAX_EN
             group_links(entry[own], gray_rank(sketch[own, 0]), sketch[own], RADIUS, lambda n, found=found: found)
             row, _, partner = found.cut()
             yield from proposed(ids[own][row], ids[own][partner], ids[own][found.partners > partners])
-        del b, entry, ids, sketch, component, by
+        del b, entry, ids, sketch, component
         release()
 
-    n = partitions_for(nodes.sparkSession, rows * TABLES, 200_000)
-    filed = file(nodes.select("id", "sketch", "component")).select(F.shiftright("full", MORE_BITS).alias("task"), "id", "sketch", "component")
     most = min(most, max(2, HELD // partners))  # so that the pairs of one task can be held
-    large = large_entries(nodes, table_bits(), most)
-    if not large.isEmpty():
-        filed = dealt(filed.withColumnRenamed("task", "entry"), large, most)
-    return filed.repartition(n, "task").mapInArrow(nearby, "a long, b long").distinct()
+    return met_in_entries(nodes, rows, most).mapInArrow(nearby, "a long, b long").distinct()
 
 
-def near_links(nodes: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
-    """``(a, b)`` of accepted pairs whose components are the groups of ``nodes(id, sketch)``, in rounds."""
-    found = materialize(candidate_pairs(nodes, nodes.count()), "pairs")
-    pairs = done = found.where("b is not null")
-    links, partners = materialize(verified(pairs, docs, text, similarity), "links"), 1
-    while not (over := found.where("b is null").select(F.col("a").alias("id"))).isEmpty():
-        part = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-        left = nodes.select("id", "sketch").join(over, "id").join(part, "id", "left").select("id", "sketch", F.coalesce("component", "id").alias("component"))
-        left = materialize(left, "left")
-        if left.agg(F.min("component") == F.max("component")).first()[0]:
-            break
-        partners *= MORE
-        found = materialize(further_pairs(left, left.count(), partners), "pairs")
-        pairs = materialize(found.where("b is not null").join(done, ["a", "b"], "left_anti"), "new")
-        done = done.unionAll(pairs)
-        if not pairs.isEmpty():
-            links = links.unionAll(materialize(verified(pairs, docs, text, similarity), "links"))
-    return links
+def families(nodes: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """``nodes(id, sketch, component)`` to distinct ``(a, b)``: any two documents of different components that share an
+    entry within ``RADIUS`` bits hang together by these links, of which a document has at most one in each entry."""
 
+    def hanging(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = [x for x in it if x.num_rows]
+        if not b:
+            return
+        entry, ids, sketch, component, _ = mixed_entries(b)
+        if len(ids):
+            i, j = group_links(entry, gray_rank(sketch[:, 0]), sketch, RADIUS)
+            other = np.zeros(len(ids), bool)  # by the smallest row of what hangs together: whether it has several components
+            other[j[component[i] != component[j]]] = True
+            yield from proposed(ids[i][other[j]], ids[j][other[j]], np.zeros(0, np.int64))
+        del b, entry, ids, sketch, component
+        release()
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
-    """The pairs whose texts have at least this Jaccard similarity of distinct shingles."""
+    return met_in_entries(nodes, rows, MAX_ENTRY if most is None else most).mapInArrow(hanging, "a long, b long").distinct()
+
+
+def uniting(ids: np.ndarray, sketch: np.ndarray, component: np.ndarray, block: np.ndarray, sets: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Accepted pairs that unite components, of documents in different blocks if there are two, else of any: a forest.
+
+    ``sets`` are the distinct shingles of all documents one after the other, and how many each has.
+    """
+    lens = sets[1]
+    code = np.unique(sets[0], return_inverse=True)[1]
+    ends = np.cumsum(lens)
+    starts = ends - lens
+    mark = np.zeros(int(code.max()) + 1, bool)
+    label = np.unique(component, return_inverse=True)[1]
+    two, links = block.min() != block.max(), []
+    for i in range(len(ids) - 1):
+        rest = slice(i + 1, None)
+        can = (label[rest] != label[i]) & (np.minimum(lens[rest], lens[i]) >= similarity * np.maximum(lens[rest], lens[i]))
+        if two:
+            can &= block[rest] != block[i]
+        j = np.flatnonzero(can) + i + 1
+        j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= RADIUS]
+        if not len(j):
+            continue
+        own = code[starts[i] : ends[i]]
+        mark[own] = True
+        before = np.cumsum(lens[j]) - lens[j]
+        both = np.add.reduceat(mark[code[np.repeat(starts[j] - before, lens[j]) + np.arange(lens[j].sum())]], before, dtype=np.int64)
+        mark[own] = False
+        for k in j[both >= similarity * (lens[j] + lens[i] - both)].tolist():
+            if label[k] != label[i]:
+                links.append((ids[i], ids[k]))
+                label[label == label[k]] = label[i]
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+def united(members: DataFrame, similarity: float) -> DataFrame:
+    """``members(family, id, sketch, component, shingles)`` to ``(a, b)``: accepted pairs that unite the components of each
+    family as all its accepted pairs would.
+
+    A large family is dealt in blocks, each two of which, and each by itself, make a task.
+    """
+
+    def decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            ids, component, block = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in ("id", "component", "block"))
+            sketch = np.frombuffer(b"".join(v for x in held for v in x.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
+            sets = [x.column("shingles") for x in held]
+            lens = np.concatenate([x.value_lengths().to_numpy() for x in sets]).astype(np.int64)
+            a, b = uniting(ids, sketch, component, block, (np.concatenate([x.flatten().to_numpy() for x in sets]), lens), similarity)
+            return batch(a=pa.array(np.minimum(a, b)), b=pa.array(np.maximum(a, b)))
+
+        held, now = [], None
+        for b in it:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(c).to_numpy() for c in ("family", "lo", "hi")], axis=1)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist()
+            for s, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if held and tuple(key[s]) != now:
+                    yield forest(held)
+                    held = []
+                held, now = [*held, b.slice(s, e - s)], tuple(key[s])
+        if held:
+            yield forest(held)
+        del held
+        release()
+
+    size = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.ceil(F.col("n") / FAMILY_BLOCKS)))
+    blocks = members.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_BLOCK)
+    blocks = materialize(blocks.select("family", F.ceil(F.col("n") / size).alias("blocks")), "blocks")
+    met = members.join(small(blocks), "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    met = met.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("family", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "id", "sketch", "component", "block", "shingles")
+    task = ["family", "lo", "hi"]
+    return met.repartition(partitions_for(members.sparkSession, 0), *task).sortWithinPartitions(*task).mapInArrow(decide, "a long, b long")
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
+    """``(a, b)`` of accepted pairs whose components are the groups of ``nodes(id, sketch)``."""
+    found = materialize(candidate_pairs(nodes, nodes.count()), "pairs")
+    links = materialize(verified(found.where("b is not null"), docs, text, similarity), "links")
+    over = found.where("b is null").select(F.col("a").alias("id"))
+    if over.isEmpty():
+        return links
+    part = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    left = nodes.select("id", "sketch").join(over, "id").join(part, "id", "left").select("id", "sketch", F.coalesce("component", "id").alias("component"))
+    left = materialize(left, "left")
+    family = connected_components(families(left, left.count()), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("family"))
+    members = materialize(left.join(family, "id"), "members")
+    members = members.join(shingle_sets(docs, members.select("id"), text), "id")
+    return links.unionAll(materialize(united(members, similarity), "links", TEXT_ROWS))
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """``(id, shingles)`` of the documents ``ids(id)``: the hashes of their distinct shingles."""
 
     def shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -270,8 +376,14 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) ->
             yield batch(id=b.column(0), shingles=pa.array(sets, pa.list_(pa.int64())))
         release()
 
-    ids = materialize(pairs.select(F.col("a").alias("_near_id")).unionAll(pairs.select(F.col("b").alias("_near_id"))).distinct(), "paired")
-    sets = materialize(docs.select("_near_id", text).join(small(ids), "_near_id").mapInArrow(shingles, "id long, shingles array<long>"), "shingles", TEXT_ROWS)
+    ids = ids.withColumnRenamed("id", "_near_id")
+    return materialize(docs.select("_near_id", text).join(small(ids), "_near_id").mapInArrow(shingles, "id long, shingles array<long>"), "shingles", TEXT_ROWS)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
+    """The pairs whose texts have at least this Jaccard similarity of distinct shingles."""
+    ids = materialize(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "paired")
+    sets = shingle_sets(docs, ids, text)
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))

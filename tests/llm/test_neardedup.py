@@ -186,3 +186,54 @@ def test_blocks_of_a_large_entry_meet(spark):
     nodes = spark.createDataFrame(rows, "id long, sketch binary, component long")
     whole, split = ({tuple(x) for x in neardedup.further_pairs(nodes, 120, 500, most).collect()} for most in (1000, 8))
     assert whole == split and len(whole) > 1000
+
+
+def test_a_family_makes_no_row_for_each_pair(spark, monkeypatch):
+    """Copies of one text that are not alike enough to hang together, but for two: every two are compared, no two are listed."""
+    rnd, base = random.Random(4), [f"w{i}" for i in range(200)]
+    rows = [(i, edited(base, rnd.sample(range(200), 12), f"e{i}x")) for i in range(150)]
+    rows.append((500, edited(rows[70][1], [3, 90], "z")))
+    text = {k: " ".join(t) for k, t in rows}
+    near = [(x, y) for x in text for y in text if x < y and jaccard(text[x], text[y]) >= 0.8]
+    assert (70, 500) in near and len(near) < 10
+    with_sketches(monkeypatch, {k: [k % 256] for k in text})
+    made, keep = {}, neardedup.materialize
+
+    def seen(df, name="step", *a):
+        out = keep(df, name, *a)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardedup, "materialize", seen)
+    kept = {r.doc_id for r in neardedup.near_dedup(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    part = {k: k for k in text}
+    for _ in near:
+        for x, y in near:
+            part[x] = part[y] = min(part[x], part[y])
+    assert kept == set(part.values())
+    assert max(made.values()) <= 36 * len(text)
+
+
+def test_blocks_of_a_family_unite_as_the_whole(spark, monkeypatch):
+    rnd, base = random.Random(6), [*range(100)]
+    kept = [rnd.choice([0.98, 0.9, 0.7]) for _ in range(90)]
+    sets = {i: sorted({x if rnd.random() < kept[i] else rnd.randrange(10**6) for x in base}) for i in range(90)}
+    rows = [(i // 60, i, bytes(32), i if i % 3 else 0, s) for i, s in sets.items()]
+    members = spark.createDataFrame(rows, "family long, id long, sketch binary, component long, shingles array<long>")
+    like = lambda x, y: len({*sets[x]} & {*sets[y]}) >= 0.8 * len({*sets[x]} | {*sets[y]})
+    edges = [(x, y) for x in sets for y in sets if x < y and x // 60 == y // 60 and like(x, y)]
+
+    def parts(links):
+        part = {(i // 60, i): (i // 60, i if i % 3 else 0) for i in sets}
+        for _ in range(20):
+            for x, y in links:
+                p, q = part[x // 60, x], part[y // 60, y]
+                part = {k: min(p, q) if v in (p, q) else v for k, v in part.items()}
+        return part
+
+    for least in (1000, 7):
+        monkeypatch.setattr(neardedup, "LEAST_BLOCK", least)
+        monkeypatch.setattr(neardedup, "MOST_BLOCK", least)
+        found = [tuple(r) for r in neardedup.united(members, 0.8).collect()]
+        assert {*found} <= {*edges} and parts(found) == parts(edges)
+        assert len({*parts(found).values()}) < len({(i // 60, i if i % 3 else 0) for i in sets})
