@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import batch, release, texts
-from kinfold.llm.simhash import Nearest, fingerprint_words, gray_rank, group_links, shingle_hashes
+from kinfold.llm.simhash import Links, Nearest, fingerprint_words, gray_rank, group_links, shingle_hashes
 from kinfold.operators.components import connected_components
 from kinfold.runtime import TEXT_ROWS, materialize, partitions_for, small
 
@@ -36,6 +36,8 @@ WORDS, TABLES, BITS, RADIUS = 4, 36, 14, 64
 MAX_ENTRY, MORE_BITS = 20_000, 12
 #: Pairs that a task of ``further_pairs`` holds at a time, about.
 HELD = 1_500_000
+#: Links that one task contracts.
+LINKS = 200_000
 #: A family is dealt in so many blocks, of so many documents at least and at most; more blocks where these would be larger.
 FAMILY_BLOCKS, LEAST_BLOCK, MOST_BLOCK = 32, 32, 1000
 
@@ -208,6 +210,22 @@ def dealt(filed: DataFrame, large: DataFrame, most: int) -> DataFrame:
     return met.select((F.col("entry") * (shift * shift) + F.col("task")).alias("task"), "id", "sketch", "component")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """``(a, b)`` that unite what the materialized ``links(a, b)`` unite: each task leaves one link for each of its nodes, to
+    the smallest that it hangs together with there."""
+
+    def contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack([b.column(c).to_numpy() for c in "ab"]) for b in it if b.num_rows]
+        if not pairs:
+            return
+        ids, (a, b) = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+        found = Links(len(ids))
+        found.join(a, b)
+        yield batch(a=pa.array(ids[found.label]), b=pa.array(ids))
+
+    return links.repartition(max(1, -(-links.count() // LINKS))).mapInArrow(contract, "a long, b long").where("a <> b")
+
+
 def mixed_entries(b: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
     """``gathered_entries`` of ``(entry, id, sketch, component)`` in Gray order, of entries with several components only,
     and their sizes."""
@@ -256,7 +274,7 @@ def further_pairs(nodes: DataFrame, rows: int, partners: int, most: int = MAX_EN
 
 
 def families(nodes: DataFrame, rows: int, most: int | None = None) -> DataFrame:
-    """``nodes(id, sketch, component)`` to distinct ``(a, b)``: any two documents of different components that share an
+    """``nodes(id, sketch, component)`` to ``(a, b)``: any two documents of different components that share an
     entry within ``RADIUS`` bits hang together by these links, of which a document has at most one in each entry."""
 
     def hanging(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +290,7 @@ def families(nodes: DataFrame, rows: int, most: int | None = None) -> DataFrame:
         del b, entry, ids, sketch, component
         release()
 
-    return met_in_entries(nodes, rows, MAX_ENTRY if most is None else most).mapInArrow(hanging, "a long, b long").distinct()
+    return met_in_entries(nodes, rows, MAX_ENTRY if most is None else most).mapInArrow(hanging, "a long, b long")
 
 
 def uniting(ids: np.ndarray, sketch: np.ndarray, component: np.ndarray, block: np.ndarray, sets: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -358,10 +376,11 @@ def near_links(nodes: DataFrame, docs: DataFrame, text: str, similarity: float)
     over = found.where("b is null").select(F.col("a").alias("id"))
     if over.isEmpty():
         return links
-    part = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    part = connected_components(contracted(links), "a", "b").withColumnRenamed("node", "id")
     left = nodes.select("id", "sketch").join(over, "id").join(part, "id", "left").select("id", "sketch", F.coalesce("component", "id").alias("component"))
     left = materialize(left, "left")
-    family = connected_components(families(left, left.count()), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("family"))
+    hanging = contracted(materialize(families(left, left.count()), "hanging"))
+    family = connected_components(hanging, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("family"))
     members = materialize(left.join(family, "id"), "members")
     members = members.join(shingle_sets(docs, members.select("id"), text), "id")
     return links.unionAll(materialize(united(members, similarity), "links", TEXT_ROWS))
@@ -403,7 +422,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     first = F.struct(F.col("key").isNull().alias("none"), "key", "id")
     nodes = materialize(made.groupBy("words").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch")).select(F.col("first.id").alias("id"), "first", "sketch", (F.length("words") > 0).alias("some")), "nodes")
     links = near_links(nodes.where("some"), rows, text, similarity)
-    part = nodes.join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left")
+    part = nodes.join(connected_components(contracted(links), "a", "b").withColumnRenamed("node", "id"), "id", "left")
     kept = part.groupBy(F.coalesce("component", "id").alias("part")).agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"))
     gone = materialize(made.select("id").join(kept, "id", "left_anti").withColumnRenamed("id", "_near_id"), "gone")
     return rows.join(small(gone), "_near_id", "left_anti").select(*columns)

@@ -237,3 +237,17 @@ def test_blocks_of_a_family_unite_as_the_whole(spark, monkeypatch):
         found = [tuple(r) for r in neardedup.united(members, 0.8).collect()]
         assert {*found} <= {*edges} and parts(found) == parts(edges)
         assert len({*parts(found).values()}) < len({(i // 60, i if i % 3 else 0) for i in sets})
+
+
+def test_contracted_links_unite_the_same(spark, monkeypatch):
+    from kinfold.operators.components import connected_components
+
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(2000)] + [(100 + rnd.randrange(40), 100 + rnd.randrange(40)) for _ in range(25)]
+    links = neardedup.materialize(spark.createDataFrame(rows, "a long, b long").repartition(4))
+    parts = lambda e: {tuple(r) for r in connected_components(e, "a", "b").collect()}
+    for most in (10**6, 700):
+        monkeypatch.setattr(neardedup, "LINKS", most)
+        assert parts(neardedup.contracted(links)) == parts(links)
+        assert neardedup.contracted(links).count() <= 100 * -(-len(rows) // most)
+    assert neardedup.contracted(links.where("a < 0")).isEmpty()
